@@ -94,7 +94,13 @@ def luhn(d: Column) -> Column:
 
 
 def octets(m: Column) -> Column:
-    return F.forall(F.regexp_extract_all(m, F.lit("[0-9]+"), 0), lambda x: (F.length(F.regexp_replace(x, "^0+", "")) <= 3) & (F.coalesce(F.try_to_number(F.substring(F.concat(F.lit("000"), F.regexp_replace(x, "^0+", "")), -3, 3), F.lit("999")).cast("int"), F.lit(0)) <= 255))
+    """Whether every number in it is at most 255."""
+
+    def fits(x: Column) -> Column:
+        bare = F.regexp_replace(x, "^0+", "")
+        return (F.length(bare) <= 3) & (F.substring(F.concat(F.lit("000"), bare), -3, 3).cast("int") <= 255)
+
+    return F.forall(F.regexp_extract_all(m, F.lit("[0-9]+"), 0), fits)
 
 
 def _plain(x: Column, kind: int, base: bool, shift: Column | None = None) -> Column:
