@@ -46,7 +46,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     whole = docs.withColumns({i: ident, th: F.xxhash64(text)}).join(dropped, [i, th], "left")
     split = F.split(text, "\n", -1)
-    total = F.size(split)
+    total = F.size(lines)  # used twice below, so that the split is not inlined into the lambda
     keep = F.array_except(F.sequence(F.lit(0), total - 1), F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(keep, lambda p: F.get(lines, p)), "\n"))
     out = whole.withColumn(lines, split).withColumns({text_col: kept, n_lines: total.cast("long"), n_dropped: F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")})
