@@ -6,9 +6,10 @@ cells hold ``probe`` of all rows, and the entries of those cells are reranked by
 product, in double precision.
 
 The codebooks are fitted on a bounded sample: the SAMPLE rows with the least hash of their id. All
-rows are indexed. Cells are gathered into blocks of about BLOCK rows (a larger cell is split over
-several), queries into chunks of CHUNK; a task reranks one chunk against one block and returns the
-k best of each query, so no task and no key grows with the data.
+rows are indexed. Cells are gathered into blocks (a larger cell is split over several), queries into
+chunks of CHUNK; a task reranks one chunk against one block and returns the k best of each query.
+Blocks grow with the rows up to MOST_BLOCK, so that a query meets a fixed number of them for as long
+as they fit a task, and no task or key grows beyond that.
 
 Edge cases: null or zero vectors and those with null or non-finite components take no part, nor do
 vectors whose length is not the most frequent one; null ids take no part; ties go to the smaller id;
@@ -30,9 +31,11 @@ from .common import materialise
 
 SAMPLE = 8192
 CENTROIDS = 32
-#: The share of all rows that a query's cells hold at least.
-PROBE = 0.5
-BLOCK, CHUNK = 2048, 2048
+#: The share of all rows that a query's cells hold at least. On unit vectors without clusters recall
+#: is 0.79, 0.87, 0.92 and 0.95 at 0.3, 0.4, 0.5 and 0.6.
+PROBE = 0.6
+#: Rows of a block: a PARTS-th of all, within these bounds; and queries of a chunk.
+BLOCK, MOST_BLOCK, PARTS, CHUNK = 2048, 65536, 16, 2048
 
 
 def usable(v: Column) -> Column:
@@ -93,7 +96,7 @@ def blocks_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, i
     return first, parts, int(at) + 1
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = CENTROIDS, sample: int = SAMPLE, probe: float = PROBE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = CENTROIDS, sample: int = SAMPLE, probe: float = PROBE, block: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. ``queries``: a condition on the rows' id column."""
     spark = rows.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -125,6 +128,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
         counts[r["cell"]] = r["n"]
     asking = sum(r["asks"] for r in found)
     chunks = max(1, -(-asking // chunk))
+    block = block or min(MOST_BLOCK, max(BLOCK, -(-total // PARTS)))
     enough = max(k + 1, int(np.ceil(probe * total)))
     first, parts, _ = blocks_of(counts, block)
     layout = spark.sparkContext.broadcast((counts, first, parts))
@@ -161,11 +165,12 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
         qid, vid = left["id"].to_numpy(), right["id"].to_numpy()
         cells, place = np.unique(right["cell"].to_numpy(), return_inverse=True)
         got = []
-        for s in range(0, len(q), 256):
-            part = slice(s, s + 256)
+        step = max(1, (1 << 21) // len(v))  # scores held at once
+        for s in range(0, len(q), step):
+            part = slice(s, s + step)
             score = q[part] @ v.T
             seen = np.zeros((score.shape[0], len(cells)), dtype=bool)
-            for r, cs in enumerate(left["cells"].slice(s, 256).to_pylist()):
+            for r, cs in enumerate(left["cells"].slice(s, step).to_pylist()):
                 at = np.searchsorted(cells, cs)
                 at = np.minimum(at, len(cells) - 1)
                 seen[r, at[cells[at] == np.array(cs)]] = True
