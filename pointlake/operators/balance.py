@@ -9,6 +9,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import rank
+
 
 def integer_weights(ratios: Mapping[str, float]) -> dict[str, int]:
     """Ratios as the smallest whole numbers in the same proportion; those not above 0 are left out."""
@@ -21,14 +23,10 @@ def integer_weights(ratios: Mapping[str, float]) -> dict[str, int]:
     return {k: whole[k] // max(1, shared) for k in sorted(whole)}
 
 
-def pools(df: DataFrame, category: str, order: Sequence) -> DataFrame:
-    """Add each row's 0-based place in its category and the size of the category.
-
-    The size is joined from an aggregate rather than counted over the window, so that only the rank
-    needs the sort.
-    """
-    sizes = df.groupBy(category).agg(F.count(F.lit(1)).alias("pool_size"))
-    return df.withColumn("pool_index", F.row_number().over(Window.partitionBy(category).orderBy(*order)).cast("long") - 1).join(sizes, category)
+def pools(df: DataFrame, category: str, order: Sequence[str]) -> DataFrame:
+    """Add each row's 0-based place in its category and the size of the category. ``order`` is total
+    and opens with a number."""
+    return rank(df, [category], order, "pool_index", "pool_size")
 
 
 def quotas(df: DataFrame, category: str, weights: Mapping[str, int]) -> DataFrame:
@@ -91,7 +89,7 @@ def weighted_draws(df: DataFrame, ident: str, source: str, power: float, draws:
     First each draw picks a source by the cumulative shares, of which there are few, then a place in
     it; the place is met by rank. No draw looks at all rows.
     """
-    ranked = df.select(ident, source).withColumn("_i", F.row_number().over(Window.partitionBy(source).orderBy(ident)))
+    ranked = rank(df.select(ident, source), [source], [ident], "_i")
     shares = expected_ratio(df, source, power)
     upto = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0)
     cum = shares.withColumn("_hi", F.sum("ratio").over(upto)).withColumn("_lo", F.col("_hi") - F.col("ratio"))
@@ -99,5 +97,5 @@ def weighted_draws(df: DataFrame, ident: str, source: str, power: float, draws:
     table = cum.agg(F.array_sort(F.collect_list(F.struct("_hi", "_lo", "n", F.col(source).alias("s")))).alias("_t"))
     picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(table)).withColumn("_u", unit(1))
     chosen = F.coalesce(F.get(F.filter("_t", lambda x: F.col("_u") < x["_hi"]), 0), F.element_at("_t", -1))
-    picks = picks.withColumn("_c", chosen).select("draw", F.col("_c.s").alias(source), (F.floor(unit(2) * F.col("_c.n")) + 1).cast("int").alias("_i"))
+    picks = picks.withColumn("_c", chosen).select("draw", F.col("_c.s").alias(source), F.floor(unit(2) * F.col("_c.n")).alias("_i"))
     return picks.join(ranked, [source, "_i"]).select("draw", ident, source)

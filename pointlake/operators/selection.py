@@ -7,45 +7,47 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import rank
 
-def with_rank(df: DataFrame, source: str, order: Sequence, name: str = "source_rank") -> DataFrame:
-    """1-based rank within each source by a total order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(source).orderBy(*order)))
 
+def with_rank(df: DataFrame, source: str, order: Sequence[str], name: str = "source_rank") -> DataFrame:
+    """1-based rank within each source by a total order that opens with a number; a source of any
+    size is spread over many tasks."""
+    return rank(df, [source], order, name).withColumn(name, F.col(name) + 1)
 
-def resume_after(df: DataFrame, frontier: DataFrame, source: str = "source", rank: str = "source_rank") -> DataFrame:
+
+def resume_after(df: DataFrame, frontier: DataFrame, source: str = "source", at: str = "source_rank") -> DataFrame:
     """Rows beyond each source's frontier (source, resume_rank). A source without one starts at 1."""
-    return df.join(frontier, source, "left").where(F.col(rank) > F.coalesce("resume_rank", F.lit(0))).drop("resume_rank")
+    return df.join(frontier, source, "left").where(F.col(at) > F.coalesce("resume_rank", F.lit(0))).drop("resume_rank")
 
 
-def resume_before(df: DataFrame, frontier: DataFrame, source: str = "source", rank: str = "source_rank") -> DataFrame:
+def resume_before(df: DataFrame, frontier: DataFrame, source: str = "source", at: str = "source_rank") -> DataFrame:
     """The same for a scan from the end: rows below the frontier; 0 or none means all."""
-    return df.join(frontier, source, "left").where((F.coalesce("resume_rank", F.lit(0)) == 0) | (F.col(rank) < F.col("resume_rank"))).drop("resume_rank")
+    return df.join(frontier, source, "left").where((F.coalesce("resume_rank", F.lit(0)) == 0) | (F.col(at) < F.col("resume_rank"))).drop("resume_rank")
 
 
-def frontier(done: DataFrame, source: str = "source", rank: Column | None = None, reverse: bool = False) -> DataFrame:
+def frontier(done: DataFrame, source: str = "source", at: Column | None = None, reverse: bool = False) -> DataFrame:
     """Largest (or smallest) processed rank of each source."""
-    rank = F.col("source_rank") if rank is None else rank
-    return done.groupBy(source).agg((F.min(rank) if reverse else F.max(rank)).alias("resume_rank")).where("resume_rank is not null")
+    at = F.col("source_rank") if at is None else at
+    return done.groupBy(source).agg((F.min(at) if reverse else F.max(at)).alias("resume_rank")).where("resume_rank is not null")
 
 
-def rank_or_prefix(rank: Column, file: Column) -> Column:
+def rank_or_prefix(given: Column, file: Column) -> Column:
     """The rank, else the digits that the file name opens with."""
-    return F.coalesce(rank.try_cast("int"), F.nullif(F.regexp_extract(file, r"^([0-9]+)(?:__|$|\.)", 1), F.lit("")).try_cast("int"))
+    return F.coalesce(given.try_cast("int"), F.nullif(F.regexp_extract(file, r"^([0-9]+)(?:__|$|\.)", 1), F.lit("")).try_cast("int"))
 
 
-def quota_cap(df: DataFrame, quotas: Mapping[str, int] | None, cap: int, source: str = "source", rank: str = "source_rank") -> DataFrame:
+def quota_cap(df: DataFrame, quotas: Mapping[str, int] | None, cap: int, source: str = "source", order: Sequence[str] = ("source_rank",), name: str = "source_rank") -> DataFrame:
     """The first rows of each source up to its quota (0 shuts it, none is no limit), then the first
-    ``cap`` of them by source and rank.
+    ``cap`` of them by source and rank. Adds the rank within the source, 1-based.
 
-    The second rank is over what the quotas left. With ``cap`` the plan keeps at most that many
-    rows of each partition before it ranks them.
+    No source can give more than ``cap`` rows, so the rank has a fixed limit, which Spark applies to
+    each task before the shuffle.
     """
     quotas = dict(quotas or {})
-    nth = F.row_number().over(Window.partitionBy(source).orderBy(rank))
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(source)) if quotas else F.lit(None).cast("int")
-    chosen = df.withColumn("_nth", nth).where(F.col("_nth") <= F.coalesce(limit, F.lit(2**31 - 1))).drop("_nth")
-    return chosen.orderBy(source, rank).limit(cap)
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col(name) <= cap)
+    return ranked.where(F.col(name) <= F.coalesce(limit, F.lit(cap))).orderBy(source, name).limit(cap)
 
 
 def prefix_until(df: DataFrame, hit: Column, order: Sequence, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -93,9 +95,9 @@ def contributed(keys: DataFrame, root: str, order: Column, key: str) -> DataFram
     return keys.select(root).distinct().join(counts, root, "left").select(root, F.coalesce("new_keys", F.lit(0)).alias("new_keys"))
 
 
-def prefix_summary(df: DataFrame, n_points: Column, target: int, rank: str, start: int = 0) -> DataFrame:
+def prefix_summary(df: DataFrame, n_points: Column, target: int, at: str, start: int = 0) -> DataFrame:
     """A bounded scan for records of several points: what was selected, scanned, skipped; and where it ended."""
-    seen = prefix_until(df.where(F.col(rank) > start).withColumn("_p", n_points), F.col("_p") > 1, [rank], target)
+    seen = prefix_until(df.where(F.col(at) > start).withColumn("_p", n_points), F.col("_p") > 1, [at], target)
     n = F.count(F.lit(1))
     return seen.agg(
         F.count_if(F.col("_p") > 1).alias("selected"), n.alias("scanned"), F.count_if(F.coalesce("_p", F.lit(0)) <= 0).alias("skipped_no_points"), F.count_if(F.col("_p") == 1).alias("skipped_single_point"),

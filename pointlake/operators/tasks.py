@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import patterns as P
 from ..functions import text as X
+from .ranking import rank
 from .rules import object_reasons
 from .selection import first_per_group
 
@@ -177,10 +178,10 @@ def one_per_image(candidates: DataFrame, remaining: Mapping[str, int]) -> DataFr
 
 
 def renumber(df: DataFrame, key: str, order: str, start: int = 0) -> DataFrame:
-    """Dense new numbers of the keys by first appearance, from ``start`` on."""
+    """Dense new numbers of the keys by first appearance (``order`` is a number), from ``start`` on."""
     firsts = df.groupBy(key).agg(F.min(order).alias("_first"))
-    numbers = firsts.select(key, (F.row_number().over(Window.orderBy("_first", key)) - 1 + start).cast("long").alias("new_order"))
-    return df.join(numbers, key)
+    numbers = rank(firsts, [], ["_first", key], "new_order")
+    return df.join(numbers.select(key, (F.col("new_order") + start).alias("new_order")), key)
 
 
 def phrases(spark, openings: Sequence[str], bodies: Sequence[str], extra: Sequence[str] = (), n: int = 100) -> DataFrame:

@@ -19,7 +19,7 @@ SELECT doc_id, source, source_rank::INT AS source_rank FROM q ORDER BY source, s
 def select_quota_cap(spark, sf):
     """First k selected rows of each source by quota, then a cap over all."""
     d = table(spark, sf, "documents").where("n_chars >= 200").select("doc_id", "source")
-    return S.quota_cap(S.with_rank(d, "source", ["doc_id"]), {"src1": 5, "src2": 0, "src3": 12}, 300)
+    return S.quota_cap(d, {"src1": 5, "src2": 0, "src3": 12}, 300, order=["doc_id"])
 
 
 @query("""

@@ -74,8 +74,8 @@ def test_label_gate(spark, label, want):
 
 def test_quotas_and_prefix_by_loops(spark):
     rows = [(f"s{k % 3}", k) for k in range(60)]
-    df = S.with_rank(spark.createDataFrame(rows, "source string, n int"), "source", ["n"])
-    got = [(r["source"], r["source_rank"]) for r in S.quota_cap(df, {"s0": 4, "s1": 0}, 10).orderBy("source", "source_rank").collect()]
+    df = spark.createDataFrame(rows, "source string, n int")
+    got = [(r["source"], r["source_rank"]) for r in S.quota_cap(df, {"s0": 4, "s1": 0}, 10, order=["n"]).orderBy("source", "source_rank").collect()]
     assert got == [("s0", k) for k in range(1, 5)] + [("s2", k) for k in range(1, 7)]
     for want, hits in ((0, 5), (3, 5), (7, 100)):
         cond = F.col("n") % 7 == want
@@ -224,3 +224,18 @@ def test_split_of_template_library(spark):
     df = spark.createDataFrame([("g", 0, "Use a guide"), ("g", 1, "Use a guide"), ("g", 2, "fine {label}")], "group string, pos int, text string")
     got = {r["pos"]: r["reasons"] for r in R.filter_templates(df).collect()}
     assert got == {0: ["guide_wording"], 1: ["duplicate"], 2: []}
+
+
+def test_rank_without_a_task_for_each_group(spark):
+    from pointlake.operators.ranking import rank
+
+    rows = [("hot" if k % 3 else "cold", k * 7919 % 1000, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    for n in (1, 2, 16, 300):
+        got = {r["id"]: (r["at"], r["all"]) for r in rank(df, ["g"], ["v", "id"], "at", "all", n).collect()}
+        for g in ("hot", "cold"):
+            own = sorted((v, i) for h, v, i in rows if h == g)
+            assert [got[i] for _, i in own] == [(k, len(own)) for k in range(len(own))]
+    assert rank(df.limit(0), ["g"], ["v", "id"], "at").count() == 0
+    whole = rank(df, [], ["v", "id"], "at").orderBy("at").collect()
+    assert [r["at"] for r in whole] == list(range(1000)) and [(r["v"], r["id"]) for r in whole] == sorted((v, i) for _, v, i in rows)
