@@ -131,3 +131,9 @@ COARSE_TASKS = (
     ("reasoning", ("reason", "why", "best", "likely", "safest")),
     ("object_reference", ("point",)),
 )
+
+# --- fixed values: adapter targets by the last part of a module's name ---
+MODULE_LEAVES = "q_proj k_proj v_proj o_proj gate_proj up_proj down_proj wq wk wv wo w1 w2 w3 att_proj attn_out ff_proj ff_out".split()
+MODULE_SCOPES = {"vision+llm": ("vision", "projector", "llm"), "all": ("vision", "projector", "llm"), "llm_only": ("llm", "projector"), "vision_only": ("vision",)}
+RECORD_SOURCES_NEED = ("id", "source", "task_type", "image_path", "query")
+POINT_FORMATS = ("xy_abs_pixels", "xy_norm_01")

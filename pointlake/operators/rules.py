@@ -218,3 +218,53 @@ def payload_reasons(v: Column, local: bool = False, counting_enabled: bool | Non
     for k in ("cleaning", "multipoint", "classification", "rewrite"):
         stop = stop.when(missing(k), all_reasons([*before, (f"missing_{k}", F.lit(True))]))
     return F.when(F.coalesce(kind(v), F.lit("")) != "OBJECT", F.array(F.lit("payload_not_dict"))).otherwise(F.coalesce(stop, all_reasons(rules)))
+
+
+# --- other checks ---
+
+
+def record_reasons(v: Column) -> Column:
+    """Reasons against a unified record (a variant): text fields, a target with points, format and size, a split."""
+    from ..functions.jsonx import kind, points
+
+    text = lambda path: F.coalesce(X.strip(F.try_variant_get(v, f"$.{path}", "string")), F.lit(""))
+    at = lambda path: F.try_variant_get(v, f"$.{path}", "variant")
+    size = lambda k: F.coalesce(F.try_variant_get(v, f"$.target.image_size[{k}]", "int"), F.lit(0))
+    rules: list[Rule | Column] = [(f"missing_{k}", text(k) == "") for k in P.RECORD_SOURCES_NEED]
+    rules += [
+        ("missing_target", F.coalesce(kind(at("target")) != "OBJECT", F.lit(True))),
+        ("missing_points", F.size(points(at("target.points"))) == 0),
+        ("unknown_point_format", ~text("target.point_format").isin(*P.POINT_FORMATS)),
+        ("bad_image_size", (size(0) <= 0) | (size(1) <= 0)),
+        ("missing_split", text("meta.split") == ""),
+    ]
+    return F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), F.array(F.lit("record_not_dict"))).otherwise(all_reasons(rules))
+
+
+def accepted(json_column: Column) -> Column:
+    """Whether a judge's JSON says pass."""
+    return F.coalesce(F.get_json_object(json_column, "$.pass") == "true", F.lit(False))
+
+
+def completed_category(reasons: Column, status: Column, category: Column) -> Column:
+    """The category of an output that is valid and completed, else null."""
+    return F.when((F.size(reasons) == 0) & (status == "completed"), F.nullif(X.strip(category), F.lit("")))
+
+
+def module_branch(name: Column) -> Column:
+    low = F.lower(F.coalesce(X.strip(name), F.lit("")))
+    return (
+        F.when(F.contains(low, F.lit("vision_backbone.image_vit")), "vision")
+        .when(F.contains(low, F.lit("vision_backbone.image_projector")), "projector")
+        .when(F.startswith(low, F.lit("model.transformer.")) | F.contains(low, F.lit(".transformer.blocks.")), "llm")
+        .otherwise("other")
+    )
+
+
+def adapter_targets(modules: DataFrame, scope: str = "vision+llm") -> DataFrame:
+    """Modules (module_name) whose last part takes an adapter, with their branch, within a scope."""
+    if scope not in P.MODULE_SCOPES:
+        raise ValueError(f"no such scope: {scope}")
+    leaf = F.element_at(F.split("module_name", r"\."), -1)
+    found = modules.withColumn("leaf_name", leaf).where(F.col("leaf_name").isin(P.MODULE_LEAVES)).withColumn("branch", module_branch(F.col("module_name")))
+    return found.where(F.col("branch").isin(*P.MODULE_SCOPES[scope]))

@@ -265,3 +265,20 @@ def group_ordered(spark, sf):
     return order(o, F.col("o_orderstatus"), ["o_orderkey"], ("F", "O", "P"))
 
 
+
+
+@query()
+def task_families(spark, sf):
+    """All five families of tasks with their quotas: seeded anchors, judged, first accepted."""
+    from ..operators import families as FA
+
+    o = objects(spark, sf).withColumns({"width": F.lit(1000), "height": F.lit(800)})
+    return FA.all_families(o, T.targets_for(10_000)).select("candidate_id", "image_id", "object_id", "task_type", "direction_text")
+
+
+@query(f"""
+WITH {_OBJECTS}, n AS (SELECT image_id, object_id, count(*) OVER (PARTITION BY image_id, same_class_key) AS same_count FROM o) SELECT image_id, object_id, 'same_object_count_not_2_to_4' AS drop_reason, same_count FROM n WHERE same_count NOT BETWEEN 2 AND 4""")
+def family_drops(spark, sf):
+    from ..operators import families as FA
+
+    return FA.drops(objects(spark, sf))

@@ -154,3 +154,36 @@ def category_refinement(spark, sf):
     ]
     df = spark.createDataFrame(rows, "id int, query string, target string, predicted string")
     return df.select("id", X.refine_category(F.col("query"), F.col("target"), F.col("predicted")).alias("refined"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'missing_query,missing_points,missing_split' END AS reasons FROM documents""")
+def record_validation(spark, sf):
+    good = '{"id": "x", "source": "s", "task_type": "t", "image_path": "a.jpg", "query": "Point to it", "target": {"type": "point", "points": [[12.0, 34.0]], "point_format": "xy_abs_pixels", "image_size": [100, 80]}, "meta": {"split": "train"}}'
+    bad = good.replace("Point to it", " ").replace("[[12.0, 34.0]]", "[]").replace('"split": "train"', "")
+    return table(spark, sf, "documents").select("doc_id", joined(R.record_reasons(F.try_parse_json(F.when(F.col("doc_id") % 2 == 0, good).otherwise(bad)))).alias("reasons"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS accepted FROM events")
+def acceptance(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", R.accepted(F.when(F.col("event_id") % 3 == 0, '{"pass": true}').when(F.col("event_id") % 3 == 1, '{"pass": false}')).alias("accepted"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND lang <> 'fr' THEN lang END AS category FROM documents")
+def completed_category(spark, sf):
+    d = table(spark, sf, "documents")
+    reasons = F.array_compact(F.array(F.when(F.col("doc_id") % 2 != 0, "bad")))
+    return d.select("doc_id", R.completed_category(reasons, F.when(F.col("doc_id") % 3 == 0, "completed"), F.when(F.col("lang") == "fr", " ").otherwise(F.col("lang"))).alias("category"))
+
+
+@query("SELECT name AS module_name, branch FROM (VALUES ('model.vision_backbone.image_vit.0.wq', 'vision'), ('model.vision_backbone.image_projector.w1', 'projector'), ('model.transformer.blocks.0.att_proj', 'llm')) t(name, branch)")
+def adapter_scope(spark, sf):
+    names = ["model.vision_backbone.image_vit.0.wq", "model.vision_backbone.image_projector.w1", "model.transformer.blocks.0.att_proj", "model.transformer.blocks.0.norm", "lm_head.wq"]
+    return R.adapter_targets(spark.createDataFrame([(n,) for n in names], "module_name string")).select("module_name", "branch")
+
+
+@query("""SELECT style AS value, count(*) AS n FROM (SELECT CASE WHEN n_chars % 3 = 0 THEN 'two_step_axis_move' WHEN n_chars % 3 = 1 THEN 'nearest_or_closest' ELSE 'not_anchor_or_unclear' END AS style FROM documents) GROUP BY style""")
+def style_histogram(spark, sf):
+    k = F.col("n_chars") % 3
+    q = F.when(k == 0, "go left then up").when(k == 1, "the closest cup").otherwise("the cup")
+    return M.histogram(table(spark, sf, "documents"), X.styles(q)[1])

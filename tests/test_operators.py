@@ -239,3 +239,30 @@ def test_rank_without_a_task_for_each_group(spark):
     assert rank(df.limit(0), ["g"], ["v", "id"], "at").count() == 0
     whole = rank(df, [], ["v", "id"], "at").orderBy("at").collect()
     assert [r["at"] for r in whole] == list(range(1000)) and [(r["v"], r["id"]) for r in whole] == sorted((v, i) for _, v, i in rows)
+
+
+def test_families(spark):
+    from pointlake.functions import geometry as G
+    from pointlake.operators import families as FA
+
+    rows = [(0, k, 0, k, f"k{k % 3}" if k < 6 else f"u{k}", 100.0 + 90 * k, 150.0 + 60 * (k % 4), 1000, 800) for k in range(8)]
+    objs = spark.createDataFrame(rows, "image_id int, object_id int, image_order int, object_order int, same_class_key string, center_x double, center_y double, width int, height int")
+    got = FA.all_families(objs, dict.fromkeys(FA.P.TASK_TYPES, 100)).collect()
+    kinds = {r["task_type"] for r in got}
+    assert {"move_until_axis_fixed", "move_then_axis_limited_fixed", "nearest_among_objects"} <= kinds
+    assert len({(r["task_type"], r["object_id"]) for r in got}) == len(got)
+    straight = FA.moves(objs, 42).join(objs.select("object_id", "center_x", "center_y"), "object_id")
+    off = straight.where(~G.matches(F.col("ax"), F.col("ay"), F.col("center_x"), F.col("center_y"), F.col("direction_text"), 10.5))
+    assert straight.count() == 8 and off.count() == 0
+    assert FA.all_families(objs, {"move_until_axis_fixed": 3}).count() == 3
+    assert {r["object_id"] for r in FA.drops(objs).collect()} == {6, 7}
+
+
+def test_stages_start_anywhere(spark, tmp_path):
+    from pointlake.plans.stages import run_stages
+
+    stages = [("one", lambda s, d: d.withColumn("a", F.lit(1))), ("two", lambda s, d: d.withColumn("b", F.col("a") + 1))]
+    assert run_stages(spark, spark.range(3), stages, str(tmp_path)).columns == ["id", "a", "b"]
+    assert run_stages(spark, None, stages, str(tmp_path), "two").count() == 3
+    with pytest.raises(ValueError):
+        run_stages(spark, None, stages, str(tmp_path))
