@@ -310,12 +310,13 @@ def query_key(text: Column) -> Column:
     return strip(F.regexp_replace(F.lower(strip(text)), r"\.+$", ""))
 
 
-def cleaning_method(root: Column) -> Column:
+def cleaning_method(root: Column, extract: str = "benchmark_extract") -> Column:
+    """Which pipeline made a run, by the name of its root; ``extract`` is the name for the hosted one."""
     name = F.coalesce(root, F.lit(""))
     return (
         F.when(F.startswith(name, F.lit("sam_clean")), "sam_clean")
         .when(F.contains(name, F.lit("three_types")) | F.contains(name, F.lit("3types")), "clean_3types_local")
-        .when(F.startswith(name, F.lit("mix4")) | F.contains(name, F.lit("pointsabs")), "pointarena_extract")
+        .when(F.startswith(name, F.lit("mix4")) | F.contains(name, F.lit("pointsabs")), extract)
         .otherwise("unknown")
     )
 

@@ -84,11 +84,11 @@ def object_reasons(label: Column, n_points: Column, spread: Column, most: int =
     return F.coalesce(label_reason(label), first_reason([("too_many_points_for_single_instance", n_points > most), ("multi_point_spread_too_large", (n_points >= 3) & (spread > widest))]))
 
 
-def evaluation_row(ident: Column, files: Sequence[Column], roots: Sequence[Column]) -> Column:
-    """Whether a row belongs to the held-out benchmark."""
+def evaluation_row(ident: Column, files: Sequence[Column], roots: Sequence[Column], prefix: str = "benchmark_", file: str = "val_benchmark.jsonl") -> Column:
+    """Whether a row belongs to the held-out benchmark: by the prefix of its id or root, or its file."""
     low = lambda c: F.lower(X.strip(F.coalesce(c, F.lit(""))))
     path = lambda c: F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/")))
-    tests = [F.startswith(low(ident), F.lit("pointarena_")), *[F.endswith(path(c), F.lit("val_pointarena.jsonl")) for c in files], *[F.startswith(low(c), F.lit("pointarena_")) for c in roots]]
+    tests = [F.startswith(low(ident), F.lit(prefix)), *[F.endswith(path(c), F.lit(file)) for c in files], *[F.startswith(low(c), F.lit(prefix)) for c in roots]]
     return reduce(or_, tests)
 
 
@@ -138,12 +138,13 @@ def filter_templates(templates: DataFrame) -> DataFrame:
 # --- payloads ---
 
 
-def payload_reasons(v: Column, local: bool = False, counting_enabled: bool | None = None) -> Column:
+def payload_reasons(v: Column, local: bool = False, counting_enabled: bool | None = None, style: str = "benchmark") -> Column:
     """All reasons against an audit document (a variant), or an empty array.
 
     Missing sections end the list early, as nothing can be said beyond them. ``local``: the
     variant with three categories, where several points filter a record out unless counting is
-    enabled and sessions need 2, 4 and 6 messages after the three stages.
+    enabled and sessions need 2, 4 and 6 messages after the three stages. ``style`` names the benchmark
+    whose style a rewrite must have in the reason for one that hasn't.
     """
     from ..functions.jsonx import kind
 
@@ -208,7 +209,7 @@ def payload_reasons(v: Column, local: bool = False, counting_enabled: bool | Non
         ("rewrite_missing_raw_output", completed & ~filled("rewrite.raw_output")),
         ("rewrite_finish_length", completed & yes(text("rewrite.finish_reason") == "length")),
         ("rewrite_missing_query", completed & ~filled("rewrite.rewritten_query")),
-        ("rewrite_not_pointarena_style", completed & filled("rewrite.rewritten_query") & ~X.rewrite_is_valid(text("rewrite.rewritten_query"))),
+        (f"rewrite_not_{style}_style", completed & filled("rewrite.rewritten_query") & ~X.rewrite_is_valid(text("rewrite.rewritten_query"))),
         ("session_messages_too_short_completed", completed & (messages < least["completed"])),
         *[(f"session_messages_too_short_{k}_filter", out & (stage == k) & (messages < least[k])) for k in (("cleaning", "multipoint", "classification") if local else ("cleaning", "classification"))],
     ]

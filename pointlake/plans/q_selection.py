@@ -234,7 +234,7 @@ def weighted_replacement_sample(spark, sf):
     return B.weighted_draws(table(spark, sf, "documents"), "doc_id", "source", 0.5, 1000, 3)
 
 
-@query("SELECT doc_id, 'mix4_' || source AS root, 'pointarena_extract' AS method FROM documents")
+@query("SELECT doc_id, 'mix4_' || source AS root, 'benchmark_extract' AS method FROM documents")
 def cleaning_methods(spark, sf):
     d = table(spark, sf, "documents").withColumn("root", F.concat(F.lit("mix4_"), "source"))
     return d.select("doc_id", "root", X.cleaning_method(F.col("root")).alias("method"))

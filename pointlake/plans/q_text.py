@@ -294,7 +294,7 @@ def cache_first_merge(spark, sf):
     return W.cache_first(d, cache, "doc_id", F.lit(-1), "doc_id").select("doc_id", "response", "from_cache")
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'missing_multipoint' ELSE 'rewrite_not_pointarena_style,session_messages_too_short_completed' END AS reasons FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'missing_multipoint' ELSE 'rewrite_not_benchmark_style,session_messages_too_short_completed' END AS reasons FROM documents""")
 def payload_validation(spark, sf):
     """Audit documents of three kinds against the validator."""
     from ..operators.rules import payload_reasons

@@ -78,7 +78,7 @@ def test_strings(one):
     assert one(X.file_name(lit(" ../a b?c.json "))) == "a_b_c.json" and one(X.file_name(lit("???"))) == "object"
     assert one(X.stem(lit("/a/b.c/d.tar.gz"))) == "d.tar" and one(X.stem(lit(".hidden"))) == ".hidden"
     assert one(X.key_of_value(lit("x/abc.png"))) == "abc" and one(X.key_of_value(lit("abc"))) == "abc"
-    assert [one(X.cleaning_method(lit(x))) for x in ("sam_clean_mix10000_v2", "qwen3_8b_three_types_2000_each_nodup_reverse", "mix4_pointsabs_len1_10000_rule_llm", "")] == ["sam_clean", "clean_3types_local", "pointarena_extract", "unknown"]
+    assert [one(X.cleaning_method(lit(x))) for x in ("sam_clean_mix10000_v2", "local_three_types_2000_each", "mix4_pointsabs_len1_10000_rule_llm", "")] == ["sam_clean", "clean_3types_local", "benchmark_extract", "unknown"]
     assert one(X.csv_list(lit(" a, ,b"))) == ["a", "b"] and one(X.endpoint(lit("http://x/v1//"))) == "http://x/v1"
     assert one(X.keeps_cues(lit("Object Reference"), lit("the cursor"), lit("the cup"))) is False
     assert one(X.prefilter(lit("something used to cut all"), "Affordance")) is False and one(X.prefilter(lit("it might fall"), "Reasoning")) is True

@@ -44,7 +44,7 @@ def payload(**change):
     ({"multipoint__multi_point": True, "classification": {"skipped_for_multipoint": True, "category": "Affordance", "thought": "t", "raw_output": "x"}}, ["multipoint_forced_category_invalid:Affordance", "classification_raw_should_be_empty_when_skipped"]),
     ({"classification__category": "Other"}, ["classification_invalid_category:Other"]),
     ({"classification__allowed_categories": ["affordance"]}, ["classification_invalid_category:Counting"]),
-    ({"rewrite__rewritten_query": "Show it"}, ["rewrite_not_pointarena_style"]),
+    ({"rewrite__rewritten_query": "Show it"}, ["rewrite_not_benchmark_style"]),
     ({"session_messages": [1]}, ["session_messages_too_short_completed"]),
 ])
 def test_payload_validator(spark, change, want):
