@@ -73,9 +73,15 @@ def first_per_group(df: DataFrame, by: Sequence, order: Sequence, n: int | Colum
 
 
 def exclude(df: DataFrame, keys: DataFrame, key: Column, column: str) -> DataFrame:
-    """Rows whose key isn't among ``keys``; a blank key never matches."""
-    wanted = keys.select(F.col(column).alias("_key")).where("_key is not null and trim(_key) != ''").distinct()
-    return df.withColumn("_own", key).join(wanted, F.col("_own") == F.col("_key"), "left_anti").drop("_own")
+    """Rows whose key isn't among ``keys``; a blank key never matches. Keys may be whole texts: they meet
+    as digests, so that only these are shuffled beside the columns that are kept."""
+    wanted = keys.select(digest(F.col(column)).alias("_key")).where("_key is not null").distinct()
+    return df.withColumn("_own", digest(key)).join(wanted, F.col("_own") == F.col("_key"), "left_anti").drop("_own")
+
+
+def digest(text: Column) -> Column:
+    """A key of fixed length for a text; null if it is blank."""
+    return F.when(F.trim(text) != "", F.sha2(text.cast("binary"), 256))
 
 
 def unfinished(jobs: DataFrame, done: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:

@@ -29,8 +29,8 @@ def split(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def dedup_queries(df: DataFrame, query: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The first row of each normalised query."""
-    return first_per_group(df.withColumn("query_key", X.query_key(F.col(query))), [*by, "query_key"], order)
+    """The first row of each normalised query. Rows are grouped by a digest of it."""
+    return first_per_group(df.withColumn("query_key", F.sha2(X.query_key(F.col(query)).cast("binary"), 256)), [*by, "query_key"], order)
 
 
 def repeated_ids(df: DataFrame, key: str) -> DataFrame:

@@ -99,8 +99,8 @@ def template_filter(spark, sf):
 @query(f"SELECT d.doc_id, b.item_id IS NOT NULL OR starts_with(lower('benchmark_' || d.lang), 'benchmark_fr') AS held_out FROM documents d LEFT JOIN (SELECT text, min(item_id) AS item_id FROM benchmark GROUP BY text) b ON d.text = b.text")
 def leakage_guard(spark, sf):
     """Documents that equal a benchmark passage, or whose id marks them as part of the benchmark."""
-    bench = table(spark, sf, "benchmark").select("text").distinct().withColumn("hit", F.lit(True))
-    d = table(spark, sf, "documents").join(bench, "text", "left")
+    bench = table(spark, sf, "benchmark").select(S.digest(F.col("text")).alias("key")).distinct().withColumn("hit", F.lit(True))
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", S.digest(F.col("text")).alias("key")).join(bench, "key", "left")
     ident = F.when(F.col("lang") == "fr", F.concat(F.lit(" Benchmark_"), F.col("lang"))).otherwise(F.col("lang"))
     return d.select("doc_id", (F.coalesce("hit", F.lit(False)) | R.evaluation_row(ident, [F.col("source")], [F.col("lang")])).alias("held_out"))
 
