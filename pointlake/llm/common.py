@@ -66,3 +66,11 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+def small_side(df: DataFrame, label: str, texts: list[str], most_bytes: int = 8 << 20) -> DataFrame:
+    """The table, written once and measured: with a broadcast hint if it is within ``most_bytes``
+    (64 bytes a row and the length of its texts), else as it is, for a shuffled join."""
+    table_ = materialise(df, label)
+    size = sum((F.coalesce(F.sum(F.octet_length(F.col(t))), F.lit(0)) for t in texts), F.count(F.lit(1)) * 64)
+    return F.broadcast(table_) if table_.agg(size.alias("n")).first()["n"] <= most_bytes else table_

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, small_side
 
 WEIGHTS = (5, 2, 1)
 
@@ -57,13 +57,14 @@ def draw(ident: Column, seed: int) -> Column:
 def mix_plan(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, seed: int = 8) -> DataFrame:
     """Each row's ``carry`` columns with mix_size, mix_source_size, mix_target and mix_copies.
 
-    Sizes aggregate map-side. The source table is one row for each source; the row side is shuffled
-    without hints, so AQE broadcasts the table where it is small and splits a hot source where not.
+    Sizes aggregate map-side. The source table, one row for each source, is written and measured: it
+    is broadcast if it is small, so that no row moves; else the join is a plain one, in which AQE
+    splits a hot source.
     """
     sized = docs.select(*carry, F.col(id_col).alias("mix_id"), F.col(source_col).isNull().alias("source_null"), F.coalesce(source_col, F.lit("")).alias("source_name"), word_count(F.col(text_col)).alias("mix_size"))
     sizes = sized.groupBy("source_null", "source_name").agg(F.sum("mix_size").alias("source_size"))
     rates = targets(sizes, share, cap).withColumn("rate", F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
-    joined = sized.join(rates, ["source_null", "source_name"])
+    joined = sized.join(small_side(rates, "mix-rates", ["source_name"]), ["source_null", "source_name"])
     whole = F.floor("rate")
     copies = whole + F.when(draw(F.col("mix_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
     return joined.select(*carry, "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.cast("long").alias("mix_copies"))
