@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialise
+from .common import SPACE, fresh, materialise, small_side
 
 #: Of each measure: the least distance of the upper fence above the median, and of the lower below.
 FENCES = {"mean_word": (60, 15), "symbols": (100, None), "dup_lines": (300, None), "repeats": (150, None)}
@@ -117,8 +117,8 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """``carry`` columns (all by default) with the base measures q_*, q_base_failed and q_kept.
 
     The measures are materialised once, as both the sketches and the filter need them. The join
-    with the fences, one row for each language and source, carries no hint: AQE broadcasts it when
-    it is small and splits a hot source when it isn't.
+    with the fences, one row for each language and source, broadcasts them if they are small when
+    measured; if not it is a plain join, in which AQE splits a hot source.
     """
     carry = docs.columns if carry is None else carry
     spare = {c: f"qi_{k}" for k, c in enumerate(carry)}
@@ -129,6 +129,7 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     measured = materialise(measured, "quality")
     limits = fences(sketches(measured, ["g_lang", "g_source"], measures()), ["g_lang", "g_source"])
     limits = limits.withColumnsRenamed({"g_lang": "f_lang", "g_source": "f_source"})
+    limits = small_side(limits, "quality-fences", ["f_lang", "f_source"])
     joined = measured.join(limits, (F.col("g_lang") == F.col("f_lang")) & (F.col("g_source") == F.col("f_source")))
     failed = (F.col("q_n_words") < 10) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * 20)
     fits = F.lit(True)
