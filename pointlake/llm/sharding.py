@@ -39,7 +39,8 @@ def shard_plan(docs: DataFrame, shards: int = 8, carry: list[str] | None = None,
     unless ``carry`` names it.
 
     Both orders (within each source, then of the whole) are ranked by buckets of about
-    ``bucket_rows`` rows, so a source with a third of all rows is spread over many tasks.
+    ``bucket_rows`` rows (a quarter of that within sources), so a source with a third of all rows
+    is spread over many tasks.
     """
     carry = [id_col] if carry is None else carry
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -54,7 +55,7 @@ def shard_plan(docs: DataFrame, shards: int = 8, carry: list[str] | None = None,
     ).withColumn("sh_key", F.xxhash64(F.lit(seed), "sh_id", "sh_crc32"))
     total = docs.count()
     buckets = max(1, -(-total // bucket_rows))
-    rows = rows.withColumn("sh_bucket", F.floor(F.shiftrightunsigned("sh_key", 11) * F.lit(buckets / float(1 << 53))))
+    rows = rows.withColumn("sh_bucket", F.floor(F.shiftrightunsigned("sh_key", 11) * F.lit(4 * buckets / float(1 << 53))))
     order = ["sh_key", F.col("sh_id").asc_nulls_last(), "sh_crc32", "sh_size"]
     ranked = _bucketed_rank(rows, ["sh_null", "sh_source"], "sh_bucket", order, "sh_rank", "sh_n")
     placed = ranked.withColumn("sh_frac", (F.col("sh_rank") + 0.5) / F.col("sh_n")).withColumn("sh_one", F.lit(0)).withColumn("sh_bucket", F.floor(F.col("sh_frac") * buckets))
