@@ -38,7 +38,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Runs of digits and separators that hold seven digits or three inner dots.
-RUN = r"(?:\G|(?<![0-9+]))(?=\+?(?:[\x20().+-]*+[0-9]){7}|[0-9]++\.[0-9]++\.[0-9]++\.[0-9])[0-9+][0-9\x20().+-]*+"
+RUN = r"(?:\G|(?<![0-9+]))(?=\(?\+?(?:[\x20().+-]*+[0-9]){7}|\(?[0-9]++\.[0-9]++\.[0-9]++\.[0-9])\(?[0-9+][0-9\x20().+-]*+"
 OPEN_CARD = r"(?<![0-9])[0-9](?:[\x20.-]{0,2}[0-9]){12,18}(?![0-9])"
 OPEN_PHONE = r"(?<![0-9])(?:\+\x20?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20.-]{1,3}\(?[0-9]{2,8}\)?){1,6}(?![0-9])|(?<![0-9])[0-9]{10,11}(?![0-9])"
 OPEN_IP = r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}(?![0-9])"
@@ -215,8 +215,9 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 
 def calibrate(score: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The least threshold from which on the share of true spans is at least ``precision``; infinite if none."""
-    for t in np.unique(score):
+    """The least threshold, of a probability of 1/2 at least, from which on the share of true spans is
+    at least ``precision``; infinite if none."""
+    for t in np.unique(score[score >= 0]):
         if y[score >= t].mean() >= precision:
             return float(round(t, 6)) - 1e-6
     return float("inf")
@@ -233,6 +234,7 @@ def labelled_rows(n: int = LABELLED, seed: int = 5) -> list[dict]:
     """Texts with one marked span (start, end, truth) each, written from formats and counter-examples."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(r.choice(("an", "ter", "lo", "mi", "ou", "re", "st", "en", "ka", "di")) for _ in range(r.randint(1, 4)))
 
     def card(k: int) -> str:
@@ -248,7 +250,7 @@ def labelled_rows(n: int = LABELLED, seed: int = 5) -> list[dict]:
         return sep.join(out)
 
     tld = lambda: r.choice(("com", "org", "net", "de", "fr", "example", "io", "co.uk"))
-    octet = lambda: str(r.randint(0, 255))
+    octet = lambda: str(r.choice((r.randint(0, 255), r.randint(0, 255), r.randint(0, 9), 10)))
     true = [
         (("phone", "tel", "call", "fax", "", "", "at"), lambda: r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(4)} {num(6)}", f"+ {num(2)} {num(3)} {num(6)}"))),
         (("phone:", "call", "mobile", "tel."), lambda: r.choice((num(10), "0" + num(10), f"0{num(3)}-{num(7)}"))),
@@ -262,6 +264,7 @@ def labelled_rows(n: int = LABELLED, seed: int = 5) -> list[dict]:
         (("isbn",), lambda: f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}"),
         (("", "sum", "total", "lines", "score"), lambda: r.choice((" ".join(num(2) for _ in range(r.randint(4, 7))), " ".join(num(1) for _ in range(9)), f"{num(1)}.{num(3)}.{num(3)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(4)} {num(4)}", f"{num(3)}.{num(6)} {num(2)}.{num(6)}", f"{num(1)}.{num(9)}", num(8) + " " + num(8)))),
         (("pi", "ratio", "version", "build", ""), lambda: r.choice((f"3.{num(8)}", f"{num(1)}.{num(2)}.{num(1)}.{num(4)}", f"0.{num(10)}", f"{num(5)}.{num(5)}", f"{num(14)}", f"{num(17)}"))),
+        (("token =", "key", "sha", "commit", "", "id", "secret:"), lambda: r.choice((hexed(40), hexed(32), f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", f"{word()}{num(10)}{word()}", f"ab{num(11)}{hexed(5)}", f"{hexed(6)}c{num(10)}"))),
         (("section", "", "room"), lambda: r.choice((f"{num(3)} . {num(3)}9 . 9{num(2)} . {num(1)}", f"{900 + int(num(2))}[.]{num(2)}[.]{num(1)}[.]{num(1)}"))),
         (("", "look", "was", "stay"), lambda: r.choice((f"{word()} at {word()} . {word().title()}", f"{word()} @ {word()}. {word().title()} {word()}", f"{word()} at {word()}. {word().title()}", f"{word()} at {word()} dot {word()}{word()}{word()}{word()}"))),
     ]
