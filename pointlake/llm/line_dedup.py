@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_CHARS, fresh, lower_ascii
+from .common import NULL_ID, SPACE_CHARS, fresh, lower_ascii, materialise
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """Drop every line whose key is in ``min_docs`` documents or more, save in the smallest id.
 
-    Only (row, position, 128-bit hash) is shuffled to find the lines; the text moves once, to meet
+    Only (row, position, 128-bit hash) is kept and shuffled to find the lines; the text moves once, to meet
     its list of dropped positions. The hash table aggregates map-side, so a line that a third of
     all documents share is one row for each map task; the join back is a plain sort-merge join,
     which AQE splits when one hash is hot.
@@ -35,6 +35,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.length("key") >= min_chars)
         .select(i, th, pos, F.xxhash64("key").alias(h1), F.xxhash64(F.lit(1), "key").alias(h2))
     )
+    # Read twice, and much narrower than the texts.
+    hashed = materialise(hashed, "lines")
     found = [F.min(i).alias(least), F.max(i).alias("most")] + ([F.count_distinct(i).alias("n")] if min_docs > 2 else [])
     shared = hashed.groupBy(h1, h2).agg(*found).where(F.col(least) < F.col("most"))
     if min_docs > 2:
