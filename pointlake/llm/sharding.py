@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialise
 
 
 def _bucketed_rank(rows: DataFrame, by: list[str], bucket: str, order: list[str], out: str, n: str | None = None) -> DataFrame:
@@ -53,7 +53,9 @@ def shard_plan(docs: DataFrame, shards: int = 8, carry: list[str] | None = None,
         (F.octet_length(text) + 1).cast("long").alias("sh_size"),
         F.crc32(text.cast("binary")).alias("sh_crc32"),
     ).withColumn("sh_key", F.xxhash64(F.lit(seed), "sh_id", "sh_crc32"))
-    total = docs.count()
+    if text_col not in carry:  # read several times, and much narrower than the texts
+        rows = materialise(rows, "shard-rows")
+    total = rows.count()
     buckets = max(1, -(-total // bucket_rows))
     rows = rows.withColumn("sh_bucket", F.floor(F.shiftrightunsigned("sh_key", 11) * F.lit(4 * buckets / float(1 << 53))))
     order = ["sh_key", F.col("sh_id").asc_nulls_last(), "sh_crc32", "sh_size"]
