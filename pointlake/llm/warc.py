@@ -36,6 +36,8 @@ SCHEMA = "warc_type string, record_id string, target_uri string, refers_to strin
 #: Column: the header it is.
 HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 ROLL = 256 << 20
+#: Of a batch of rows handed to Spark, at most about.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -112,7 +114,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").option("path", folder or file): options payload (false: null payloads) and split_bytes."""
+    """spark.read.format("warc").option("path", folder or file). Options: payload (false: null payloads),
+    split_bytes (of files read by one task, at most), least_splits (how many tasks to aim at)."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,7 +137,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
-        self.split = int(options.get("split_bytes", 128 << 20))
+        self.split, self.least = int(options.get("split_bytes", 128 << 20)), int(options.get("least_splits", 1))
         self.wanted: dict[str, set[str]] = {}
 
     def pushFilters(self, filters):
@@ -153,9 +156,10 @@ class WarcReader(DataSourceReader):
         info = own.get_file_info(path)
         found = own.get_file_info(fs.FileSelector(path, recursive=True)) if info.type == fs.FileType.Directory else [info]
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", f.path) and not f.base_name.startswith("."))
+        split = min(self.split, max(1 << 20, sum(n for _, n in files) // self.least))
         parts, held = [[]], 0
         for f, size in files:
-            if parts[-1] and held + size > self.split:
+            if parts[-1] and held + size > split:
                 parts.append([])
                 held = 0
             parts[-1].append((f, size))
@@ -164,10 +168,17 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         own, _ = _open(self.path)
+        rows, size = [], 0
         for path, _size in partition.files:
             with own.open_input_file(path) as f:
                 for offset, headers, block in records(f, self._fits, self.payload):
-                    yield self._row(path, offset, headers, block)
+                    rows.append(self._row(path, offset, headers, block))
+                    size += len(block or b"")
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     def _fits(self, headers: dict[str, str]) -> bool:
         return all(headers.get(HEADERS[c].lower()) in v for c, v in self.wanted.items())
@@ -178,7 +189,13 @@ class WarcReader(DataSourceReader):
             http, _, payload = block.partition(b"\r\n\r\n") if "application/http" in headers.get("content-type", "") else (b"", b"", block)
             m = re.search(rb"(?im)^content-length:\s*(\d+)", http)
             length = int(m[1]) if m else len(payload)
-        return (*[headers.get(h.lower()) for h in HEADERS.values()], length, headers, payload if self.payload else None, path, offset)
+        return (*[headers.get(h.lower()) for h in HEADERS.values()], length, list(headers.items()), payload if self.payload else None, path, offset)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.string()] * len(HEADERS), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.int64())
+    names = (*HEADERS, "http_length", "headers", "payload", "file", "offset")
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def parse_headers(raw: bytes) -> dict[str, str]:
@@ -294,4 +311,4 @@ def _gzip_header(raw: bytes) -> tuple[int, int | None]:
 def read_warc(spark: SparkSession, path: str, payload: bool = True, split_bytes: int = 128 << 20) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("split_bytes", str(split_bytes)).load()
+    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("split_bytes", str(split_bytes)).option("least_splits", str(spark.sparkContext.defaultParallelism)).load()

@@ -92,7 +92,9 @@ def test_warc_round_trip(spark, tmp_path):
 
     left = list(reader.pushFilters([EqualTo(("warc_type",), "revisit"), GreaterThan(("offset",), 3)]))
     assert len(left) == 1 and reader.wanted == {"warc_type": {"revisit"}}
-    assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 3
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
+    warc.write_warc(pages.limit(0), f"file://{tmp_path}/empty")
+    assert warc.read_warc(spark, f"file://{tmp_path}/empty").count() == 0
 
 
 def test_warc_foreign_files(spark, tmp_path):
