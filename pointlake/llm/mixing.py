@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small_side
+from .common import WORD, materialise, small_side
 
 WEIGHTS = (5, 2, 1)
 
@@ -54,14 +54,17 @@ def draw(ident: Column, seed: int) -> Column:
     return F.conv(hexed, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_plan(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, seed: int = 8) -> DataFrame:
+def mix_plan(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, seed: int = 8, spool: bool = True) -> DataFrame:
     """Each row's ``carry`` columns with mix_size, mix_source_size, mix_target and mix_copies.
 
     Sizes aggregate map-side. The source table, one row for each source, is written and measured: it
     is broadcast if it is small, so that no row moves; else the join is a plain one, in which AQE
-    splits a hot source.
+    splits a hot source. ``spool``: write the sized rows once, as they are read twice; worth it
+    where ``carry`` is narrow.
     """
     sized = docs.select(*carry, F.col(id_col).alias("mix_id"), F.col(source_col).isNull().alias("source_null"), F.coalesce(source_col, F.lit("")).alias("source_name"), word_count(F.col(text_col)).alias("mix_size"))
+    if spool:
+        sized = materialise(sized, "mix-sizes")
     sizes = sized.groupBy("source_null", "source_name").agg(F.sum("mix_size").alias("source_size"))
     rates = targets(sizes, share, cap).withColumn("rate", F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     joined = sized.join(small_side(rates, "mix-rates", ["source_name"]), ["source_null", "source_name"])
@@ -73,6 +76,6 @@ def mix_plan(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix: every row as often as it is taken, in the input's columns."""
     spare = {c: f"in_{k}_{c}" for k, c in enumerate(docs.columns)}
-    plan = mix_plan(docs.withColumns({v: F.col(k) for k, v in spare.items()}), list(spare.values()), **params)
+    plan = mix_plan(docs.withColumns({v: F.col(k) for k, v in spare.items()}), list(spare.values()), **{"spool": False} | params)
     taken = plan.where(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
     return taken.select(*[F.col(v).alias(k) for k, v in spare.items()])
