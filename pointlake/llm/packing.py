@@ -14,6 +14,7 @@ an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from zlib import crc32
@@ -29,6 +30,7 @@ SENTENCE, ANYWHERE = 4.0, 64.0
 #: Ids that are planned together.
 BLOCK = 1 << 20
 _SPECIAL = "<|endoftext|>"
+_STRETCH = 2000
 
 
 class Encoder:
@@ -44,26 +46,37 @@ class Encoder:
         import re
 
         import tiktoken
-        import tokenizers
 
-        self.exact = tokenizers.Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte = {c: b for b, c in _byte_chars().items()}
         self.spelt = {k: bytes(byte[c] for c in piece) for piece, k in vocab.items() if all(c in byte for c in piece)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: k for k, b in self.spelt.items()}, special_tokens={})
-        self.slow = re.compile(r"\S{4000}|\s{4000}")
+        self.space, self.ink = re.compile(r"\s"), re.compile(r"\S")
         self.ends = np.zeros(max(vocab.values()) + 2, dtype=bool)
         for k, b in self.spelt.items():
             self.ends[k] = b.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b"\n")
 
+    def exact(self, text: str) -> list[int]:
+        """By the reference tokenizer, which is only read if a text needs it."""
+        if self.whole is None:
+            import tokenizers
+
+            self.whole = tokenizers.Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _stretched(self, text: str) -> bool:
+        """Whether a stretch of 2000 characters, counted from a multiple of it, is all white space or
+        has none: true for every run of twice that. Each search ends after a few characters."""
+        ends = range(_STRETCH, len(text) + 1, _STRETCH)
+        return any(not self.space.search(text, k - _STRETCH, k) or not self.ink.search(text, k - _STRETCH, k) for k in ends)
+
     def __call__(self, text: str) -> np.ndarray:
-        if _SPECIAL in text or self.slow.search(text):
-            ids = self.exact.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, dtype="<u4")
+        if _SPECIAL in text or self._stretched(text):
+            return np.array(self.exact(text), dtype="<u4")
+        return np.frombuffer(array("I", self.fast.encode_ordinary(text)), dtype=np.uint32).astype("<u4", copy=False)
 
 
 def _byte_chars() -> dict[int, str]:
@@ -73,6 +86,12 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+def merged(*sorted_arrays: np.ndarray) -> np.ndarray:
+    """The distinct values of sorted arrays, ascending; a stable sort merges runs."""
+    x = np.sort(np.concatenate(sorted_arrays), kind="stable")
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def cut_places(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may be cut, ascending, and the penalty of each.
 
@@ -83,13 +102,13 @@ def cut_places(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np
     whole = np.concatenate(ids)
     doc = np.cumsum(size)
     sentence = np.flatnonzero(ends[np.minimum(whole, len(ends) - 1)]) + 1
-    places = np.union1d(np.concatenate([[0], sentence]), doc)
+    places = merged(np.concatenate([[0], sentence]), doc)
     gaps = np.flatnonzero(np.diff(places) > window // 2)
     if len(gaps):
         step = max(1, window // 8)
         more = [np.arange(places[g] + step, places[g + 1], step) for g in gaps]
         forced = np.concatenate(more)
-        places = np.union1d(places, forced)
+        places = merged(places, forced)
     else:
         forced = np.array([], dtype=np.int64)
     cost = np.full(len(places), SENTENCE)
@@ -175,7 +194,7 @@ def _pieces(id_name, names, ids, ends, window, sequence, keep_ids) -> tuple[pa.R
     size = np.array([len(x) for x in ids])
     stop = np.cumsum(size)
     begin = stop - size
-    edges = np.union1d(cuts, stop)
+    edges = merged(cuts, stop)
     first, last = edges[:-1], edges[1:]
     doc = np.searchsorted(stop, first, side="right")
     window_of = np.searchsorted(cuts, first, side="right") - 1
