@@ -106,7 +106,9 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes["dim"], sizes["count"]
     good = good.where(F.size("v") == dim)
-    picked = good.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    # The least hashes are among the least 2 * sample / total of all hashes; others are not sorted.
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    picked = good.where(part <= 2.0 * sample / total).select("id", "v").orderBy(part, "id").limit(sample).toArrow()
     x = _matrix(picked["v"].combine_chunks(), dim)
     half = max(1, dim // 2)
     books = spark.sparkContext.broadcast((kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if dim > half else np.zeros((1, 0))))
