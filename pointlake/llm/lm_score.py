@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
 from math import log10
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bucket, materialise
 
 MARK = "▁".encode()
 #: Counter entries at which a task hands on what it has counted.
@@ -185,6 +186,18 @@ def word_scores(words: DataFrame, lattice: Lattice) -> DataFrame:
     return words.mapInArrow(scored, "word binary, known boolean, base double, lm double, m long")
 
 
+def most_frequent(words: DataFrame, most: int) -> int:
+    """A count that at most ``most`` words reach. From a histogram of the counts by their leading
+    digits, a few thousand rows at any size; no task sorts the words of all others."""
+    held, cut = 0, 1 << 62
+    for r in words.groupBy(bucket(F.col("m")).alias("m")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("m")).collect():
+        held += r["n"]
+        if held > most:
+            break
+        cut = r["m"]
+    return cut
+
+
 def lm_score(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, hot: int = HOT) -> DataFrame:
     """One row for each document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     slim = docs.select(F.col(id_col).alias("lm_id"), F.coalesce(text_col, F.lit("")).alias("lm_text"), held_out(F.col(id_col), parts, part).alias("lm_held"))
@@ -194,31 +207,29 @@ def lm_score(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str
     tokens, distinct = sums["n"] + trained, sums["v"] + (1 if trained else 0)
     lattice, end = learn(words, vocab, trained)
     scores = materialise(word_scores(words, lattice), "lm-scores")
-    top = scores.orderBy(F.desc("m"), "word").limit(hot).drop("m").toArrow()
-    frequent = docs.sparkSession.sparkContext.broadcast((top["word"].to_pylist(), top["known"].to_pylist(), top["base"].to_pylist(), top["lm"].to_pylist()))
+    top = scores.where(F.col("m") >= most_frequent(scores, hot)).drop("m").toArrow()
+    sums_of = np.stack([top["known"].to_numpy().astype(np.float64), top["base"].to_numpy(), top["lm"].to_numpy()]) if len(top) else np.zeros((3, 0))
+    frequent = docs.sparkSession.sparkContext.broadcast((top["word"].to_pylist(), sums_of))
     del top
     norm = log10(tokens + distinct + 1)
-    end_base, end_known = log10(trained + 1.0), bool(trained)
+    end_base, end_known = log10(trained + 1.0), int(trained > 0)
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = dict(zip(frequent.value[0], zip(*frequent.value[1:])))
+        words_, sums_ = frequent.value
+        place = dict(zip(words_, range(len(words_)))).get
         row = TaskContext.get().partitionId() << 33
         for b in it:
             cols: dict[str, list] = {k: [] for k in ("row", "word", "times", "id", "held", "tokens", "known", "base", "lm")}
             for ident, held, text in zip(b.column("lm_id").to_pylist(), b.column("lm_held").to_pylist(), _texts(b, "lm_text")):
                 counts = Counter(words_of(text))
-                n, known, base, lm = 1, int(end_known), end_base, end
-                rare: list[bytes] = []
-                for w, times in counts.items():
-                    n += times
-                    if (found := table.get(w)) is None:
-                        rare.append(w)
-                    else:
-                        known += times if found[0] else 0
-                        base += times * found[1]
-                        lm += times * found[2]
+                at = np.fromiter(map(place, counts, repeat(-1)), dtype=np.int64, count=len(counts))
+                times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                here = at >= 0
+                known, base, lm = (sums_[:, at[here]] @ times[here]).tolist()
+                n, known, base, lm = 1 + int(times.sum()), int(known) + end_known, base + end_base, lm + end
+                rare = list(compress(counts, ~here)) if not here.all() else []
                 k = len(rare)
                 cols["row"] += [row] * (k + 1)
                 cols["word"] += rare

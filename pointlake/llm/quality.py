@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialise, small_side
+from .common import SPACE, bucket, fresh, materialise, small_side
 
 #: Of each measure: the least distance of the upper fence above the median, and of the lower below.
 FENCES = {"mean_word": (60, 15), "symbols": (100, None), "dup_lines": (300, None), "repeats": (150, None)}
@@ -71,12 +71,6 @@ def measures(prefix: str = "q_") -> dict[str, Column]:
     }
 
 
-def bucket(value: Column) -> Column:
-    """The value with all but its three leading digits set to 0."""
-    step = F.pow(F.lit(10.0), F.greatest(F.length(value.cast("string")) - 3, F.lit(0))).cast("long")
-    return value - F.pmod(value, step)
-
-
 def sketches(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
     """(by, measure, bucket, n): one pass, counted map-side."""
     each = F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in values.items()])
