@@ -146,6 +146,10 @@ def payload_reasons(v: Column, local: bool = False, counting_enabled: bool | Non
     enabled and sessions need 2, 4 and 6 messages after the three stages. ``style`` names the benchmark
     whose style a rewrite must have in the reason for one that hasn't.
     """
+    return X.let(v, lambda doc: _payload_reasons(doc, local, counting_enabled, style))
+
+
+def _payload_reasons(v: Column, local: bool, counting_enabled: bool | None, style: str) -> Column:
     from ..functions.jsonx import kind
 
     at = lambda path: F.try_variant_get(v, f"$.{path}", "variant")
@@ -226,6 +230,10 @@ def payload_reasons(v: Column, local: bool = False, counting_enabled: bool | Non
 
 def record_reasons(v: Column) -> Column:
     """Reasons against a unified record (a variant): text fields, a target with points, format and size, a split."""
+    return X.let(v, _record_reasons)
+
+
+def _record_reasons(v: Column) -> Column:
     from ..functions.jsonx import kind, points
 
     text = lambda path: F.coalesce(X.strip(F.try_variant_get(v, f"$.{path}", "string")), F.lit(""))
