@@ -32,7 +32,7 @@ from .common import materialise
 SAMPLE = 8192
 CENTROIDS = 32
 #: The share of all rows that a query's cells hold at least. On unit vectors without clusters recall
-#: is 0.79, 0.87, 0.92 and 0.95 at 0.3, 0.4, 0.5 and 0.6.
+#: is 0.79, 0.87, 0.92 and 0.96 at 0.3, 0.4, 0.5 and 0.6 of 10256 rows, and 0.93 at 0.6 of 500.
 PROBE = 0.6
 #: Rows of a block: a PARTS-th of all, within these bounds; and queries of a chunk.
 BLOCK, MOST_BLOCK, PARTS, CHUNK = 2048, 65536, 16, 2048
