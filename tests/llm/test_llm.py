@@ -205,7 +205,9 @@ def test_lattice():
     assert sum(10 ** v for v in (lattice.log10(w) for w in (b"a", b"b", b"ab", b"ba", b"aa", b"bb"))) < 1
 
 
-def test_lm_held_out_beats_base_on_unknown_words(spark, sf):
+def test_lm_held_out_within_half_of_base(spark, sf):
+    """A unigram over pieces knows no whole words: on held-out texts its log probability may be below
+    the word counts', but by less than a half."""
     out = queries.op4_lm_score(spark, sf.replace("0.001", "0.01")).where("held_out and n_known < n_tokens").agg(F.avg("score"), F.avg("base_score")).first()
     assert out[0] > out[1] * 1.5
 
