@@ -37,8 +37,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Runs of digits and separators that hold seven digits or three inner dots.
-RUN = r"(?:\G|(?<![0-9+]))(?=\(?\+?(?:[\x20().+-]*+[0-9]){7}|\(?[0-9]++\.[0-9]++\.[0-9]++\.[0-9])\(?[0-9+][0-9\x20().+-]*+"
+#: Runs of digits and separators that hold seven digits or three inner dots; the latter may follow a plus.
+RUN = (
+    r"(?:(?:\G|(?<![0-9+]))(?=\(?\+?(?:[\x20().+-]*+[0-9]){7}|\(?[0-9]++\.[0-9]++\.[0-9]++\.[0-9])"
+    r"|(?<=\+)(?=[0-9]++\.[0-9]++\.[0-9]++\.[0-9]))\(?[0-9+][0-9\x20().+-]*+"
+)
 OPEN_CARD = r"(?<![0-9])[0-9](?:[\x20.-]{0,2}[0-9]){12,18}(?![0-9])"
 OPEN_PHONE = r"(?<![0-9])(?:\+\x20?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20.-]{1,3}\(?[0-9]{2,8}\)?){1,6}(?![0-9])|(?<![0-9])[0-9]{10,11}(?![0-9])"
 OPEN_IP = r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}(?![0-9])"
