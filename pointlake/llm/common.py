@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,22 +31,36 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder every executor sees: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine if driver and executors are one process; on a
+    cluster there is no folder to fall back to, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "pointlake-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (the master is {master!r})")
+    return "file://" + os.path.join(tempfile.gettempdir(), "pointlake-shared")
+
+
+#: Paths made since the innermost ``intermediates`` block was entered.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when its ``intermediates`` block or the driver ends."""
     path = f"{shared_dir(spark)}/pointlake-{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    held = _MADE.get()
+    if held is None:
+        atexit.register(remove, spark, path)
+    else:
+        held.append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +69,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators wrote to the shared folder within it. Results are lazy and read
+    those files, so write or collect them inside the block."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        for path in _MADE.get() or ():
+            remove(spark, path)
+        _MADE.reset(token)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors,
     forgets the partitioning (so that AQE may split skewed joins on it)."""
@@ -60,14 +91,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spark: SparkSession, label: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, written, and its path; all that was written on the way is deleted."""
+    path = scratch(spark, label)
+    with intermediates(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def fresh(name: str, taken: list[str]) -> str:
-    """A column name that does not clash with those taken, whatever their case."""
+    """A column name that does not clash with those taken, whatever their case: underscores come before it."""
     low = {t.lower() for t in taken}
     while name.lower() in low:
         name = "_" + name
     return name
 
 
+def numbered(df: DataFrame, prefix: str) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table with its columns called prefix0, prefix1, ..., so that none clashes with another name,
+    and the new name of a given one (of the same case if there is such a column, else of any)."""
+    names = df.columns
+
+    def at(name: str) -> str:
+        if name in names:
+            return f"{prefix}{names.index(name)}"
+        return f"{prefix}{[n.lower() for n in names].index(name.lower())}"
+
+    return df.toDF(*[f"{prefix}{k}" for k in range(len(names))]), at
+
+
+def renamed(prefix: str, names: list[str]) -> list[Column]:
+    """The columns of ``numbered`` under their own names."""
+    return [F.col(f"{prefix}{k}").alias(n) for k, n in enumerate(names)]
+
+
 def small_side(df: DataFrame, label: str, texts: list[str], most_bytes: int = 8 << 20) -> DataFrame:
     """The table, written once and measured: with a broadcast hint if it is within ``most_bytes``
     (64 bytes a row and the length of its texts), else as it is, for a shuffled join."""
