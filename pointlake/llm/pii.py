@@ -13,7 +13,8 @@ The trees are fitted on at most LABELLED rows of labelled text that this module
 formats and counter-examples with a fixed seed; the rows go through the same generators.
 
 Edge cases: a null text is empty and has no spans; positions count code points; repeated rows get
-equal results; other columns pass through. An empty table gives an empty result.
+equal results; very long texts are searched whole, in linear time; all columns of the input pass
+through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, numbered, renamed
+
 KINDS = ("email", "ip", "card", "phone")
 #: The most labelled rows that the trees are fitted on.
 LABELLED = 1600
@@ -307,10 +310,13 @@ def model(spark: SparkSession, n: int = LABELLED) -> tuple[list, list[float]]:
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", out: str = "pii", labelled: int = LABELLED) -> DataFrame:
-    """Add ``out``: array<struct<kind, s, e, base, score>>, sorted by kind and start."""
+    """Add ``out``: array<struct<kind, s, e, base, score>>, sorted by kind and start. If the input has such
+    a column (case aside), underscores come before the new one's name."""
     trees, limits = model(docs.sparkSession, labelled)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    raw, more = out + "_raw", out + "_more"
+    names = docs.columns
+    docs, at = numbered(docs, "pii_in_")
+    text = F.coalesce(F.col(at(text_col)).cast("string"), F.lit(""))
+    raw, more = "pii_raw", "pii_more"
 
     def scored(c: Column) -> Column:
         f = features(c)
@@ -328,7 +334,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", out: str = "pii", labelle
     best = lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda d: (d["s"] < c["e"]) & (d["e"] > c["s"]) & (rank(d) > rank(c))))
     own = F.transform(F.filter(F.col(raw), lambda c: c["base"]), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.lit(True).alias("base"), F.lit(None).cast("double").alias("score")))
     added = F.transform(best(F.col(more)), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.lit(False).alias("base"), c["score"].alias("score")))
-    return docs.withColumn(raw, candidates(text)).withColumn(more, kept).withColumn(out, F.array_sort(F.concat(own, added))).drop(raw, more)
+    return docs.withColumn(raw, candidates(text)).withColumn(more, kept).withColumn("pii_out", F.array_sort(F.concat(own, added))).select(*renamed("pii_in_", names), F.col("pii_out").alias(fresh(out, names)))
 
 
 def show(spans: Column, where: Callable[[Column], Column]) -> Column:

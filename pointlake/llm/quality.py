@@ -7,7 +7,8 @@ sketch of all documents, which weighs as much as PRIOR rows, so small groups lea
 
 Edge cases: a null text has no words and fails the base rule; null languages and sources are groups
 of their own; a document without words has all ratios 0; ties at a fence are kept; repeated rows
-get the same verdict. An empty table gives an empty result.
+get the same verdict. A very long text is measured in its row, whole, with arrays of its words and
+windows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bucket, fresh, materialise, small_side
+from .common import SPACE, bucket, fresh, materialise, numbered, small_side
 
 #: Of each measure: the least distance of the upper fence above the median, and of the lower below.
 FENCES = {"mean_word": (60, 15), "symbols": (100, None), "dup_lines": (300, None), "repeats": (150, None)}
@@ -108,15 +109,17 @@ def fences(sketch: DataFrame, by: list[str], reach: int = REACH, prior: int = PR
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (all by default) with the base measures q_*, q_base_failed and q_kept.
+    """``carry`` columns (all by default) with the base measures q_*, q_base_failed and q_kept. If a carried
+    column has such a name (case aside), underscores come before the name of the operator's column.
 
     The measures are materialised once, as both the sketches and the filter need them. The join
     with the fences, one row for each language and source, broadcasts them if they are small when
     measured; if not it is a plain join, in which AQE splits a hot source.
     """
+    table, at = numbered(docs, "qi_in_")
+    spare = [f"qi_in_{k}" for k in range(len(docs.columns))] if carry is None else [at(c) for c in carry]
     carry = docs.columns if carry is None else carry
-    spare = {c: f"qi_{k}" for k, c in enumerate(carry)}
-    rows = docs.select(*[F.col(c).alias(v) for c, v in spare.items()], F.col(text_col).alias("qi_text"), F.col(lang_col).alias("qi_lang"), F.col(source_col).alias("qi_source"))
+    rows = table.select(*[F.col(v).alias(f"qi_{k}") for k, v in enumerate(spare)], F.col(at(text_col)).alias("qi_text"), F.col(at(lang_col)).alias("qi_lang"), F.col(at(source_col)).alias("qi_source"))
     rows = rows.withColumns({g: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for g, c in (("g_lang", "qi_lang"), ("g_source", "qi_source"))})
     lines = F.filter(F.split(F.coalesce("qi_text", F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit("\t\n\x0b\f\r "))) > 0)
     measured = base_measures(rows, "qi_text").withColumn("q_n_lines", F.size(lines).cast("long")).drop("qi_text", "qi_lang", "qi_source")
@@ -132,4 +135,5 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         if FENCES[m][1] is not None:
             fits = fits & (v >= F.col(f"lo_{m}"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return joined.select(*[F.col(v).alias(c) for c, v in spare.items()], *[f"q_{b}" for b in base], failed.alias("q_base_failed"), (~failed & fits).alias("q_kept"))
+    out = {f"q_{b}": F.col(f"q_{b}") for b in base} | {"q_base_failed": failed, "q_kept": ~failed & fits}
+    return joined.select(*[F.col(f"qi_{k}").alias(c) for k, c in enumerate(carry)], *[v.alias(fresh(k, carry)) for k, v in out.items()])

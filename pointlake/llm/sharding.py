@@ -5,7 +5,9 @@ row counts: every stretch of the order, and so every shard, has the mixture of t
 
 Edge cases: a null text has 0 bytes; a null source is a source of its own; null ids and repeated
 rows are ordered by what else they hold, and fully equal rows are interchangeable. Fewer rows than
-shards leave the last shards with fewer rows. An empty table gives an empty result.
+shards leave the last shards with fewer rows. Of a very long text only its length and checksum move.
+Carried columns keep their names; if one is named like a column of the plan (case aside), the plan's
+gets underscores before its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,23 +15,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, numbered
+
+#: Buckets whose running sum one task forms.
+SPAN = 4096
 
 
 def _bucketed_rank(rows: DataFrame, by: list[str], bucket: str, order: list[str], out: str, n: str | None = None) -> DataFrame:
     """0-based rank of each row within ``by`` by (bucket, order), without a task per ``by``.
 
-    Counts for each bucket aggregate map-side; their running sums give the offsets. Only rows of one
-    bucket, whose number has a bound in expectation, are ranked together. ``n``: column for the
-    number of rows of ``by``.
+    Counts for each bucket aggregate map-side; their running sums give the offsets: over spans of
+    SPAN buckets in one task (rows / 8,000,000 of them), and within spans. Only rows of one bucket,
+    whose number has a bound in expectation, are ranked together. ``n``: column for the number of
+    rows of ``by``.
     """
-    counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("rk_n"))
+    counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("rk_n")).withColumn("rk_top", F.floor(F.col(bucket) / SPAN))
+    # Running sums on two levels: of spans of buckets, then within each span.
+    tops = counts.groupBy(*by, "rk_top").agg(F.sum("rk_n").alias("rk_m"))
     over = Window.partitionBy(*by)
-    before = over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("rk_at", F.coalesce(F.sum("rk_n").over(before), F.lit(0)))
+    before = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("rk_from", F.coalesce(F.sum("rk_m").over(before(over, "rk_top")), F.lit(0)))
     if n:
-        offsets = offsets.withColumn(n, F.sum("rk_n").over(over))
-    placed = rows.join(offsets.drop("rk_n"), [*by, bucket])
+        tops = tops.withColumn(n, F.sum("rk_m").over(over))
+    inside = F.coalesce(F.sum("rk_n").over(before(Window.partitionBy(*by, "rk_top"), bucket)), F.lit(0))
+    offsets = counts.withColumn("rk_in", inside).join(tops.drop("rk_m"), [*by, "rk_top"])
+    offsets = offsets.withColumn("rk_at", F.col("rk_in") + F.col("rk_from")).drop("rk_n", "rk_top", "rk_in", "rk_from")
+    placed = rows.join(offsets, [*by, bucket])
     inner = Window.partitionBy(*by, bucket).orderBy(*order)
     return placed.withColumn(out, F.col("rk_at") + F.row_number().over(inner) - 1).drop("rk_at", bucket)
 
@@ -43,13 +54,13 @@ def shard_plan(docs: DataFrame, shards: int = 8, carry: list[str] | None = None,
     is spread over many tasks.
     """
     carry = [id_col] if carry is None else carry
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spare = {c: fresh(f"sh_in_{k}", docs.columns) for k, c in enumerate(carry)}
-    rows = docs.select(
-        *[F.col(c).alias(v) for c, v in spare.items()],
-        F.col(id_col).alias("sh_id"),
-        F.col(source_col).isNull().alias("sh_null"),
-        F.coalesce(source_col, F.lit("")).alias("sh_source"),
+    table, at = numbered(docs, "sh_in_")
+    text = F.coalesce(F.col(at(text_col)), F.lit(""))
+    rows = table.select(
+        *[F.col(at(c)).alias(f"sh_out_{k}") for k, c in enumerate(carry)],
+        F.col(at(id_col)).alias("sh_id"),
+        F.col(at(source_col)).isNull().alias("sh_null"),
+        F.coalesce(F.col(at(source_col)), F.lit("")).alias("sh_source"),
         (F.octet_length(text) + 1).cast("long").alias("sh_size"),
         F.crc32(text.cast("binary")).alias("sh_crc32"),
     ).withColumn("sh_key", F.xxhash64(F.lit(seed), "sh_id", "sh_crc32"))
@@ -65,4 +76,5 @@ def shard_plan(docs: DataFrame, shards: int = 8, carry: list[str] | None = None,
     # Shard s holds the places from ceil(s * total / shards) on.
     shard = F.expr(f"(sh_at * {shards}) div {max(1, total)}")
     start = F.expr(f"((sh_at * {shards}) div {max(1, total)} * {total} + {shards - 1}) div {shards}")
-    return whole.select(*[F.col(v).alias(c) for c, v in spare.items()], "sh_size", "sh_crc32", shard.cast("int").alias("sh_shard"), (F.col("sh_at") - start).cast("long").alias("sh_slot"))
+    out = {"sh_size": F.col("sh_size"), "sh_crc32": F.col("sh_crc32"), "sh_shard": shard.cast("int"), "sh_slot": (F.col("sh_at") - start).cast("long")}
+    return whole.select(*[F.col(f"sh_out_{k}").alias(c) for k, c in enumerate(carry)], *[v.alias(fresh(k, carry)) for k, v in out.items()])

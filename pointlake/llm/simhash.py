@@ -8,8 +8,9 @@ exceeded. A task returns a spanning forest of its links, never all pairs, and co
 found by contraction in rounds that are written to the shared folder.
 
 Edge cases: a null or wordless text has fingerprint 0 and is linked like any other; one or two
-words are one shingle; null ids sort after all others; repeated rows share a component. An empty
-table gives an empty result.
+words are one shingle; ids are of an integer type, null ids sort after all others; repeated rows share
+a component. A very long text is hashed whole, CHUNK shingles at a time. All columns of the input pass
+through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, materialise
+from .common import NULL_ID, materialise, numbered, renamed
 
 SEED = 42
 #: Odd, so that multiplying by it is a bijection of 64-bit numbers: node ids in random order.
@@ -156,7 +157,7 @@ def trie_join(prints: DataFrame, budget: int = 2, leaf: int = 2048) -> DataFrame
     being the logarithm of the number of fingerprints over ``leaf``.
     """
     n = prints.count()
-    p = min(20, max(0, int(np.ceil(np.log2(max(1, n) / leaf)))))
+    p = min(32, max(0, int(np.ceil(np.log2(max(1, n) / leaf)))))
     masks = [sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(p), r)]
     head = F.shiftrightunsigned("fp", 64 - p).cast("int") if p else F.lit(0)
     pairs = prints.withColumn("head", head).withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
@@ -220,14 +221,15 @@ def simhash_components(printed: DataFrame, id_col: str = "doc_id", budget: int =
     return rooted.join(least, "root").select("fp", F.col("component").alias("least"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, shingle: int = 3) -> DataFrame:
     """Keep one row of each component: the one with the least id (of repeated rows, the first)."""
-    spare = {c: f"si_{k}" for k, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(c).alias(v) for c, v in spare.items()]).withColumn("si_row", F.monotonically_increasing_id())
-    printed = materialise(with_fingerprints(rows, spare[text_col]), "simhash")
-    slim = printed.select("si_row", "fp", F.coalesce(F.col(spare[id_col]).cast("long"), F.lit(NULL_ID)).alias("si_id"))
-    least = materialise(simhash_components(printed, spare[id_col], budget), "simhash-least")
+    names = docs.columns
+    rows, at = numbered(docs, "si_")
+    rows = rows.withColumn("si_row", F.monotonically_increasing_id())
+    printed = materialise(with_fingerprints(rows, at(text_col), shingle=shingle), "simhash")
+    slim = printed.select("si_row", "fp", F.coalesce(F.col(at(id_col)).cast("long"), F.lit(NULL_ID)).alias("si_id"))
+    least = materialise(simhash_components(printed, at(id_col), budget), "simhash-least")
     # Only rows that hold their component's least id can stay; a tie is settled by row.
     held = slim.join(least, "fp").where(F.col("si_id") == F.col("least"))
     stay = held.groupBy("least").agg(F.min("si_row").alias("si_row")).select(F.col("si_row").bitwiseXOR(F.lit(0)).alias("si_row"))
-    return printed.join(stay, "si_row", "left_semi").select(*[F.col(v).alias(k) for k, v in spare.items()])
+    return printed.join(stay, "si_row", "left_semi").select(*renamed("si_", names))

@@ -59,7 +59,7 @@ def test_sql(spark, sf, name):
 
 def test_line_dedup_edges(edge, empty):
     out = line_dedup.line_dedup(edge.withColumn("N_LINES", F.lit("x")).withColumn("ld_id", F.lit("y")))
-    got = [tuple(r) for r in out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)).collect()]
+    got = [tuple(r) for r in out.select("doc_id", "_n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)).collect()]
     assert ordered(got) == ordered(brute.lines([(r[0], r[1]) for r in EDGE]))
     assert line_dedup.line_dedup(empty).count() == 0
 
