@@ -5,16 +5,21 @@ centroids. A query walks the pairs in the order of their summed nearness with a
 cells hold ``probe`` of all rows, and the entries of those cells are reranked by the exact inner
 product, in double precision.
 
-The codebooks are fitted on a bounded sample: the SAMPLE rows with the least hash of their id. All
-rows are indexed. Cells are gathered into blocks (a larger cell is split over several), queries into
-chunks of CHUNK; a task reranks one chunk against one block and returns the k best of each query.
-Blocks grow with the rows up to MOST_BLOCK, so that a query meets a fixed number of them for as long
-as they fit a task, and no task or key grows beyond that.
+The codebooks are fitted on a bounded sample: the rows with the least hash of their id, SAMPLE of them
+or SAMPLE_EACH for each centroid, if that is more. The number of centroids grows with the square root
+of the rows, up to MOST_CENTROIDS. ``probe`` is found on the same sample, by exact search in it: the
+least share with which its queries find TARGET of their neighbours. So it is small where the vectors
+have clusters, and large where they have none.
+
+All rows are indexed. Cells are gathered into blocks (a larger cell is split over several), queries of
+neighbouring cells into chunks of CHUNK. A block meets the chunks that hold a query of its cells, and
+no others; a task reranks one chunk against one block and returns the k best of each query. No task
+or key grows beyond these sizes.
 
 Edge cases: null or zero vectors and those with null or non-finite components take no part, nor do
-vectors whose length is not the most frequent one; null ids take no part; ties go to the smaller id;
-repeated rows are candidates each. Fewer candidates than k give all of them. An empty table gives
-an empty result.
+vectors whose length is not the most frequent one; ids are of an integer type, null ids take no part;
+ties go to the smaller id; repeated rows are candidates each; other columns, whatever their names, are
+not read. Fewer candidates than k give all of them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE = 8192
-CENTROIDS = 32
-#: The share of all rows that a query's cells hold at least. On unit vectors without clusters recall
-#: is 0.79, 0.87, 0.92 and 0.96 at 0.3, 0.4, 0.5 and 0.6 of 10256 rows, and 0.93 at 0.6 of 500.
-PROBE = 0.6
+SAMPLE, SAMPLE_EACH = 8192, 128
+CENTROIDS, MOST_CENTROIDS = 32, 256
+#: Shares of all rows that a query's cells hold at least, of which one is chosen; the recall it is to
+#: give in the sample; and how many rows of the sample ask.
+PROBES, TARGET, ASKING = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0), 0.95, 256
 #: Rows of a block: a PARTS-th of all, within these bounds; and queries of a chunk.
-BLOCK, MOST_BLOCK, PARTS, CHUNK = 2048, 65536, 16, 2048
+BLOCK, MOST_BLOCK, PARTS, CHUNK = 2048, 65536, 16, 16384
 
 
 def usable(v: Column) -> Column:
@@ -75,6 +80,32 @@ def walk(near1: np.ndarray, near2: np.ndarray, counts: np.ndarray, enough: int)
     return cells
 
 
+def least_probe(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, target: float = TARGET) -> float:
+    """The least of PROBES with which rows of ``x`` find ``target`` of their k nearest others in ``x``."""
+    c1, c2 = books
+    half = c1.shape[1]
+    cells = nearest(x[:, :half], c1) * len(c2) + nearest(x[:, half:], c2)
+    counts = np.bincount(cells, minlength=len(c1) * len(c2))
+    held = np.cumsum(counts[counts > 0])
+    need = []  # for each neighbour, the share of rows that the walk has seen when it is found
+    for q in np.linspace(0, len(x) - 1, min(ASKING, len(x))).astype(int):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
+        order = np.array(walk(c1 @ x[q, :half], c2 @ x[q, half:], counts, len(x)))
+        before = np.cumsum(counts[order]) - counts[order]  # a walk stops once it holds enough
+        place = np.empty(len(counts))
+        place[order] = before
+        need.append(place[cells[best]] / held[-1])
+    need = np.concatenate(need) if need else np.zeros(0)
+    return next((p for p in PROBES if not len(need) or (need < p).mean() >= target), 1.0)
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The centroid of each row."""
+    return np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1).astype(np.int64)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -96,7 +127,7 @@ def blocks_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, i
     return first, parts, int(at) + 1
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = CENTROIDS, sample: int = SAMPLE, probe: float = PROBE, block: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int | None = None, sample: int | None = None, probe: float | None = None, block: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. ``queries``: a condition on the rows' id column."""
     spark = rows.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -106,47 +137,51 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes["dim"], sizes["count"]
     good = good.where(F.size("v") == dim)
+    centroids = centroids or min(MOST_CENTROIDS, max(CENTROIDS, int(np.sqrt(total) / 8)))
+    sample = sample or max(SAMPLE, SAMPLE_EACH * centroids)
     # The least hashes are among the least 2 * sample / total of all hashes; others are not sorted.
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     picked = good.where(part <= 2.0 * sample / total).select("id", "v").orderBy(part, "id").limit(sample).toArrow()
     x = _matrix(picked["v"].combine_chunks(), dim)
     half = max(1, dim // 2)
-    books = spark.sparkContext.broadcast((kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if dim > half else np.zeros((1, 0))))
+    fitted = kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids) if dim > half else np.zeros((1, 0))
+    books = spark.sparkContext.broadcast(fitted)
+    probe = least_probe(x, fitted, k) if probe is None else probe
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1, c2 = books.value
         for b in it:
             if b.num_rows:
                 v = _matrix(b.column("v"), dim)
-                i = np.argmin((c1 * c1).sum(1) - 2 * v[:, :half] @ c1.T, axis=1)
-                j = np.argmin((c2 * c2).sum(1) - 2 * v[:, half:] @ c2.T, axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((i * len(c2) + j).astype(np.int64))], names=["id", "v", "asks", "cell"])
+                cell = nearest(v[:, :half], c1) * len(c2) + nearest(v[:, half:], c2)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["id", "v", "asks", "cell"])
 
     index = materialise(good.mapInArrow(assign, "id long, v array<double>, asks boolean, cell long"), "ann-index")
     # One row for each cell: at most centroids squared.
     found = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks")).collect()
-    counts = np.zeros(len(books.value[0]) * len(books.value[1]), dtype=np.int64)
+    counts, asking = np.zeros((2, len(fitted[0]) * len(fitted[1])), dtype=np.int64)
     for r in found:
-        counts[r["cell"]] = r["n"]
-    asking = sum(r["asks"] for r in found)
-    chunks = max(1, -(-asking // chunk))
+        counts[r["cell"]], asking[r["cell"]] = r["n"], r["asks"]
     block = block or min(MOST_BLOCK, max(BLOCK, -(-total // PARTS)))
     enough = max(k + 1, int(np.ceil(probe * total)))
     first, parts, _ = blocks_of(counts, block)
-    layout = spark.sparkContext.broadcast((counts, first, parts))
+    layout = spark.sparkContext.broadcast((counts, first, parts, *blocks_of(asking, chunk)[:2]))
+
+    def dealt(b: pa.RecordBatch, first: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Blocks (or chunks) of rows, those of a large cell spread over its parts."""
+        cell, ident = b.column("cell").to_numpy(), b.column("id").to_numpy()
+        salt = ((ident.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+        return first[cell] + salt % parts[cell]
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, parts = layout.value
         for b in it:
-            cell, ident = b.column("cell").to_numpy(), b.column("id").to_numpy()
-            salt = ((ident.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("cell"), pa.array(first[cell] + salt % parts[cell])], names=["id", "v", "cell", "block"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("cell"), pa.array(dealt(b, *layout.value[1:3]))], names=["id", "v", "cell", "block"])
 
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (c1, c2), (counts, first, parts) = books.value, layout.value
+        (c1, c2), (counts, first, parts, *chunked) = books.value, layout.value
         for b in it:
-            ids, vs, cells_, blocks_ = [], [], [], []
-            for ident, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist()):
+            ids, vs, cells_, blocks_, chunks_ = [], [], [], [], []
+            for ident, v, at_chunk in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), dealt(b, *chunked).tolist()):
                 q = np.array(v)
                 by: dict[int, list[int]] = {}
                 for c in walk(c1 @ q[:half], c2 @ q[half:], counts, enough):
@@ -157,7 +192,8 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
                     vs.append(v)
                     cells_.append(cs)
                     blocks_.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(cells_, pa.list_(pa.int64())), pa.array(blocks_, pa.int64())], names=["id", "v", "cells", "block"])
+                    chunks_.append(at_chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(cells_, pa.list_(pa.int32())), pa.array(blocks_, pa.int64()), pa.array(chunks_, pa.int64())], names=["id", "v", "cells", "block", "chunk"])
 
     def rerank(keys, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -192,9 +228,9 @@ def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id"
         a, b, c = (np.concatenate(z) for z in zip(*got))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    spread = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
-    left = index.where("asks").select("id", "v").mapInArrow(probes, "id long, v array<double>, cells array<long>, block long").withColumn("chunk", spread)
-    right = index.mapInArrow(place, "id long, v array<double>, cell long, block long").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    best = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(rerank, out)
+    left = materialise(index.where("asks").select("id", "v", "cell").mapInArrow(probes, "id long, v array<double>, cells array<int>, block long, chunk long"), "ann-probes")
+    meet = left.select(F.col("block").alias("to"), F.col("chunk").alias("asked")).distinct()
+    right = index.mapInArrow(place, "id long, v array<double>, cell long, block long").join(meet, F.col("block") == F.col("to")).drop("to")
+    best = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "asked")).applyInArrow(rerank, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

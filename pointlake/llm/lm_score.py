@@ -2,8 +2,10 @@
 
 A document is words, each opened by a word mark, then an end. Every way to spell a word with pieces
 of an existing subword vocabulary is a path through a lattice; a unigram distribution over pieces
-weights the paths, and a forward recursion in log space sums them. The score is the log10 of the
-marginal probability of the document.
+weights the paths, and a forward recursion in log space sums them. A word of the training documents
+is a piece of its own besides, from the mark to its end: DISCOUNT is taken off its count, and what
+that frees is the weight of the paths through the vocabulary's pieces. So the model grows with the
+corpus. The score is the log10 of the marginal probability of the document.
 
 The vocabulary's own scores are used when it is a unigram model. A BPE vocabulary's scores are
 merge ranks, not log probabilities; then the weights are the smoothed relative frequencies of the
@@ -13,9 +15,11 @@ Every distinct word's probability is computed once. Words aggregate map-side, th
 frequent (a fixed number) are sent to every task, and only the rest meet their entries in a join,
 whose keys therefore have no hot values.
 
-Edge cases: a null text is empty: its only token is the end. A null id counts as the text "" and
-is in the training part. Repeated rows are scored each. A corpus without training documents has
-N = 0 and V = 0. An empty table gives an empty result.
+Edge cases: a null text is empty: its only token is the end. Ids are of an integer type; a null id
+counts as the text "" and is in the training part. Repeated rows are scored each. A very long text is
+read whole, and a very long word costs in proportion to its length. A corpus without training
+documents has N = 0 and V = 0 and is scored by the vocabulary's pieces alone. Columns of the input
+other than id and text, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, materialise
+from .common import bucket, materialise, numbered
 
 MARK = "▁".encode()
 #: Counter entries at which a task hands on what it has counted.
 FLUSH = 400_000
 #: Words that are sent to every task.
 HOT = 200_000
+#: Taken off the count of each word and of the end.
+DISCOUNT = 0.75
+#: Stands for the end in the table of words: no word holds a space.
+END = b" "
 
 
 def held_out(ident: Column, parts: int = 7, part: int = 2) -> Column:
@@ -52,13 +60,14 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterable[bytes | None]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(lm_text, lm_held) -> word, n (in training documents), m (in all)."""
+    """(lm_text, lm_held) -> word, n (in training documents), m (in all), END among them."""
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {False: Counter(), True: Counter()}
         for b in it:
             for text, held in zip(_texts(b, "lm_text"), b.column("lm_held").to_pylist()):
                 seen[held].update(words_of(text))
+                seen[held][END] += 1
                 if len(seen[held]) > FLUSH:
                     yield from _flush(seen)
         yield from _flush(seen)
@@ -151,36 +160,63 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
     return words.where("n > 0").mapInArrow(counted, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def learn(words: DataFrame, path: str, documents: int) -> tuple[Lattice, float]:
-    """The lattice, and the log10 probability of the end. What is collected has one row for each piece."""
+def learn(words: DataFrame, path: str) -> Lattice:
+    """The lattice. What is collected has one row for each piece."""
     spelt, scored = vocabulary(path)
+    mass: dict[bytes, float] = {}
     if scored:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        counts = {k: np.exp(sp.get_score(k)) * 1e9 for k, b in enumerate(spelt) if b is not None}
-    else:
-        counts = {r["piece"]: r["n"] for r in piece_counts(words, path).collect()}
-    mass: dict[bytes, float] = {}
+        for k, b in enumerate(spelt):
+            if b is not None:
+                mass[b] = mass.get(b, 0.0) + float(np.exp(sp.get_score(k)))
+        least = min(mass.values())
+        for byte in range(256):  # every text has a spelling
+            mass.setdefault(bytes([byte]), least)
+        return Lattice({b: log10(m) for b, m in mass.items()})
+    counts = {r["piece"]: r["n"] for r in piece_counts(words, path).collect()}
     for k, b in enumerate(spelt):
         if b is not None:
             mass[b] = mass.get(b, 0.0) + counts.get(k, 0) + 1.0
-    for byte in range(256):  # every text has a spelling
+    for byte in range(256):
         mass.setdefault(bytes([byte]), 1.0)
-    end = documents + 1.0
-    whole = sum(mass.values()) + end
-    return Lattice({b: log10(m / whole) for b, m in mass.items()}), log10(end / whole)
+    whole = sum(mass.values())
+    return Lattice({b: log10(m / whole) for b, m in mass.items()})
+
+
+class Model:
+    """Word probabilities: the lattice's, and the arc of the whole word where the corpus has it."""
+
+    def __init__(self, lattice: Lattice, tokens: int, distinct: int):
+        self.lattice, self.tokens = lattice, tokens
+        #: The share of all counts that the discount frees.
+        self.freed = log10(DISCOUNT * distinct / tokens) if tokens else 0.0
+
+    def log10(self, word: bytes, n: int) -> float:
+        pieces = self.freed + self.lattice.log10(word)
+        if not n:
+            return pieces
+        whole = log10((n - DISCOUNT) / self.tokens)
+        most = max(whole, pieces)
+        return most + log10(10.0 ** (whole - most) + 10.0 ** (pieces - most))
+
+    def end(self, n: int) -> float:
+        """An end that was never seen has the freed share to itself."""
+        return log10((n - DISCOUNT) / self.tokens) if n else self.freed
 
 
-def word_scores(words: DataFrame, lattice: Lattice) -> DataFrame:
+def word_scores(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, m) -> word, known, base (log10 of n + 1), lm (log10 of the marginal), m. Each word once."""
-    shared = words.sparkSession.sparkContext.broadcast(lattice.weights)
+    shared = words.sparkSession.sparkContext.broadcast((model.lattice.weights, model.tokens, model.freed))
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(shared.value)
+        weights, tokens, freed = shared.value
+        own = Model(Lattice(weights), tokens, 1)
+        own.freed = freed
         for b in it:
             n = b.column("n").to_numpy()
-            lm = [own.log10(w) for w in b.column("word").to_pylist()]
+            lm = [own.log10(w, k) for w, k in zip(b.column("word").to_pylist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(n > 0), pa.array(np.log10(n + 1.0)), pa.array(lm, pa.float64()), b.column("m")], names=["word", "known", "base", "lm", "m"])
 
     return words.mapInArrow(scored, "word binary, known boolean, base double, lm double, m long")
@@ -200,13 +236,17 @@ def most_frequent(words: DataFrame, most: int) -> int:
 
 def lm_score(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, hot: int = HOT) -> DataFrame:
     """One row for each document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    slim = docs.select(F.col(id_col).alias("lm_id"), F.coalesce(text_col, F.lit("")).alias("lm_text"), held_out(F.col(id_col), parts, part).alias("lm_held"))
-    words = materialise(count_words(slim), "lm-words")
-    trained = slim.where(~F.col("lm_held")).count()
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    tokens, distinct = sums["n"] + trained, sums["v"] + (1 if trained else 0)
-    lattice, end = learn(words, vocab, trained)
-    scores = materialise(word_scores(words, lattice), "lm-scores")
+    rows, at_ = numbered(docs, "lm_in_")
+    ident = F.col(at_(id_col))
+    slim = rows.select(ident.alias("lm_id"), F.coalesce(at_(text_col), F.lit("")).alias("lm_text"), held_out(ident, parts, part).alias("lm_held"))
+    counted = materialise(count_words(slim), "lm-words")
+    is_end = F.col("word") == F.lit(END)
+    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in (("n", F.col("n")), ("v", (F.col("n") > 0).cast("long")), ("ends", F.when(is_end, F.col("n"))))]).first()
+    tokens, distinct, trained = sums["n"], sums["v"], sums["ends"]
+    words = counted.where(~is_end)
+    model = Model(learn(words, vocab), tokens, distinct)
+    end = model.end(trained)
+    scores = materialise(word_scores(words, model), "lm-scores")
     top = scores.where(F.col("m") >= most_frequent(scores, hot)).drop("m").toArrow()
     sums_of = np.stack([top["known"].to_numpy().astype(np.float64), top["base"].to_numpy(), top["lm"].to_numpy()]) if len(top) else np.zeros((3, 0))
     frequent = docs.sparkSession.sparkContext.broadcast((top["word"].to_pylist(), sums_of))

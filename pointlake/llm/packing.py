@@ -1,15 +1,18 @@
 """Order-preserving packing by dynamic programming.
 
-Documents stay in the order of their partition. Window cuts fall on document or sentence ends
-(anywhere only where a stretch of a whole window has neither) and are chosen to minimise padding
-plus truncation penalties. The least cost over all windows that may end at a place is a sliding
-window minimum, kept in a monotone queue, so the work grows with the number of places.
+Documents stay in the order of their partition. Window cuts fall on document or sentence ends, and
+every eighth of a window where more than half a window has neither. They are chosen to minimise
+padding, a cost for each sequence, and truncation penalties: higher for a cut within a document that
+fits a window than within one that has to be cut anyway. The least cost over all windows that may end
+at a place is a sliding window minimum, kept in a monotone queue, so the work grows with the number of
+places.
 
 A sequence is padded to ``window`` unless its length is a power of two.
 
 Edge cases: a null or empty text is the end id alone; very long documents span as many sequences as
-they need; repeated rows are packed each. Each id lies in exactly one piece. An empty table gives
-an empty result.
+they need; repeated rows are packed each; ids are of an integer type and may be null. Each id lies in
+exactly one piece. Other columns, whatever their names, are not read. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 WINDOW = 2048
-#: Cost, in ids of padding, of a cut at a sentence's end and of one elsewhere within a document.
-SENTENCE, ANYWHERE = 4.0, 64.0
+#: Cost, in ids of padding, of a sequence; of a cut at a sentence's end within a document that is
+#: longer than a window, and within one that is not; and what a cut elsewhere costs besides.
+SEQUENCE, LONG, SHORT, ANYWHERE = 64.0, 4.0, 40.0, 64.0
 #: Ids that are planned together.
 BLOCK = 1 << 20
 _SPECIAL = "<|endoftext|>"
@@ -111,17 +117,18 @@ def cut_places(ids: list[np.ndarray], ends: np.ndarray, window: int) -> tuple[np
         places = merged(places, forced)
     else:
         forced = np.array([], dtype=np.int64)
-    cost = np.full(len(places), SENTENCE)
-    cost[np.searchsorted(places, forced)] = ANYWHERE
+    own = np.minimum(np.searchsorted(doc, places, side="left"), len(doc) - 1)
+    cost = np.where(size[own] > window, LONG, SHORT)
+    cost[np.searchsorted(places, forced)] += ANYWHERE
     cost[np.searchsorted(places, doc)] = 0.0
     cost[0] = 0.0
     return places, cost
 
 
-def plan(places: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
-    """The places of the cheapest cuts, from the first place to the last.
+def plan(places: np.ndarray, penalty: np.ndarray, window: int, each: float = 0.0) -> np.ndarray:
+    """The places of the cheapest cuts, from the first place to the last; a sequence costs ``each``.
 
-    cost[i] = penalty[i] + min over j of cost[j] + window - (places[i] - places[j]), that is, the
+    cost[i] = penalty[i] + each + min over j of cost[j] + window - (places[i] - places[j]), that is, the
     sliding minimum of cost[j] + places[j]; and windows of a power of two, which need no padding.
     """
     n = len(places)
@@ -148,7 +155,7 @@ def plan(places: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
             for k in exact[i]:
                 if cost[k] < best:
                     best, j = cost[k], k
-        best += w[i]
+        best += w[i] + each
         cost[i], back[i] = best, j
         value = best + here
         while queue and queue[-1][0] >= value:
@@ -186,11 +193,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if ids:
             yield _pieces(id_col, names, ids, encode.ends, window, sequence, keep_ids)[0]
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(packed, schema)
+    rows, at = numbered(docs, "pk_")
+    return rows.select(F.col(at(id_col)).cast("long"), F.col(at(text_col)).cast("string")).mapInArrow(packed, schema)
 
 
 def _pieces(id_name, names, ids, ends, window, sequence, keep_ids) -> tuple[pa.RecordBatch, int]:
-    cuts = plan(*cut_places(ids, ends, window), window)
+    cuts = plan(*cut_places(ids, ends, window), window, SEQUENCE)
     size = np.array([len(x) for x in ids])
     stop = np.cumsum(size)
     begin = stop - size
