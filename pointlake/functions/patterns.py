@@ -68,19 +68,44 @@ STYLE_SAME = (
 
 # --- fixed values: labels ---
 STUFF_WORDS = (
-    "background wall floor ceiling sky ground road street sidewalk grass water sand snow table desk counter shelf shelves cabinet door window mirror stairs step carpet rug "
-    "plate bowl tray screen monitor paper papers sink backsplash cupboard cupboards stovetop countertop cabinetry tile tiles pavement concrete cement wood wooden"
-).split()
-SPATIAL_WORDS = "corner edge top bottom left right middle center upper lower front back side line area space".split()
-TEXTLIKE_WORDS = "text word words letter letters number numbers writing logo logos watermark copyright caption title headline font fonts icon icons symbol symbols".split()
-ARTIFACT_WORDS = "reflection reflections glare shadow shadows highlight highlights shine blur blurry texture textured lighting".split()
-REGION_WORDS = "surface area section piece pieces part parts spot spots mark marks line lines point points tip tips base center middle rim edge edges".split()
-RELATIONAL_WORDS = "of on in with behind under inside outside between from near around across through".split()
-FUNCTIONAL_WORDS = "where used use would hold holds holding go goes open close drink read write sit stand".split()
-BAD_HEAD_WORDS = [*TEXTLIKE_WORDS, *ARTIFACT_WORDS, *REGION_WORDS, *"thing things object objects item items image photo picture scene".split()]
-ATTRIBUTE_WORDS = "black white red green blue yellow brown orange pink purple gold silver gray grey sharp silky curious furry fur".split()
-ABSTRACT_WORDS = "food meal dinner supper lunch breakfast cuisine time brand drawing painting artwork bubble horizon light female".split()
-GENERIC_LABELS = "text words letters numbers logo background shadow shadows glare".split()
+    "background", "wall", "floor", "ceiling", "sky", "ground", "road", "street", "sidewalk", "grass", "water", "sand", "snow", "table", "desk",
+    "counter", "shelf", "shelves", "cabinet", "door", "window", "mirror", "stairs", "step", "carpet", "rug", "plate", "bowl", "tray", "screen",
+    "monitor", "paper", "papers", "sink", "backsplash", "cupboard", "cupboards", "stovetop", "countertop", "cabinetry", "tile", "tiles", "pavement",
+    "concrete", "cement", "wood", "wooden",
+)
+SPATIAL_WORDS = (
+    "corner", "edge", "top", "bottom", "left", "right", "middle", "center", "upper", "lower", "front", "back", "side", "line", "area", "space",
+)
+TEXTLIKE_WORDS = (
+    "text", "word", "words", "letter", "letters", "number", "numbers", "writing", "logo", "logos", "watermark", "copyright", "caption", "title",
+    "headline", "font", "fonts", "icon", "icons", "symbol", "symbols",
+)
+ARTIFACT_WORDS = (
+    "reflection", "reflections", "glare", "shadow", "shadows", "highlight", "highlights", "shine", "blur", "blurry", "texture", "textured",
+    "lighting",
+)
+REGION_WORDS = (
+    "surface", "area", "section", "piece", "pieces", "part", "parts", "spot", "spots", "mark", "marks", "line", "lines", "point", "points", "tip",
+    "tips", "base", "center", "middle", "rim", "edge", "edges",
+)
+RELATIONAL_WORDS = (
+    "of", "on", "in", "with", "behind", "under", "inside", "outside", "between", "from", "near", "around", "across", "through",
+)
+FUNCTIONAL_WORDS = (
+    "where", "used", "use", "would", "hold", "holds", "holding", "go", "goes", "open", "close", "drink", "read", "write", "sit", "stand",
+)
+BAD_HEAD_WORDS = (*TEXTLIKE_WORDS, *ARTIFACT_WORDS, *REGION_WORDS, "thing", "things", "object", "objects", "item", "items", "image", "photo", "picture", "scene")
+ATTRIBUTE_WORDS = (
+    "black", "white", "red", "green", "blue", "yellow", "brown", "orange", "pink", "purple", "gold", "silver", "gray", "grey", "sharp", "silky",
+    "curious", "furry", "fur",
+)
+ABSTRACT_WORDS = (
+    "food", "meal", "dinner", "supper", "lunch", "breakfast", "cuisine", "time", "brand", "drawing", "painting", "artwork", "bubble", "horizon",
+    "light", "female",
+)
+GENERIC_LABELS = (
+    "text", "words", "letters", "numbers", "logo", "background", "shadow", "shadows", "glare",
+)
 QUESTION_OPENERS = ("where ", "what ", "which ", "who ", "how ")
 
 # --- fixed values: templates ---
@@ -133,7 +158,10 @@ COARSE_TASKS = (
 )
 
 # --- fixed values: adapter targets by the last part of a module's name ---
-MODULE_LEAVES = "q_proj k_proj v_proj o_proj gate_proj up_proj down_proj wq wk wv wo w1 w2 w3 att_proj attn_out ff_proj ff_out".split()
+MODULE_LEAVES = (
+    "q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj", "wq", "wk", "wv", "wo", "w1", "w2", "w3", "att_proj", "attn_out",
+    "ff_proj", "ff_out",
+)
 MODULE_SCOPES = {"vision+llm": ("vision", "projector", "llm"), "all": ("vision", "projector", "llm"), "llm_only": ("llm", "projector"), "vision_only": ("vision",)}
 RECORD_SOURCES_NEED = ("id", "source", "task_type", "image_path", "query")
 POINT_FORMATS = ("xy_abs_pixels", "xy_norm_01")

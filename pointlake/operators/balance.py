@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank
+from .ranking import first_rows, rank
 
 
 def integer_weights(ratios: Mapping[str, float]) -> dict[str, int]:
@@ -67,8 +67,8 @@ def expected_ratio(df: DataFrame, source: str, power: float) -> DataFrame:
 
 
 def stratified(df: DataFrame, strata: Sequence[str], n: int, key: Column) -> DataFrame:
-    """n rows of each stratum: those with the least hash. Rank limits apply before the shuffle."""
-    return df.withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy("_k"))).where(F.col("_n") <= n).drop("_k", "_n")
+    """n rows of each stratum: those with the least hash."""
+    return first_rows(df.withColumn("_k", key), strata, ["_k"], n).drop("_k", "_nth")
 
 
 def manifest(df: DataFrame, ident: str, category: str, method: str, per_category: int, per_method: int, key: Column) -> DataFrame:
@@ -80,7 +80,16 @@ def manifest(df: DataFrame, ident: str, category: str, method: str, per_category
 
 def shuffled(df: DataFrame, ident: Column, seed: int, round_: int = 0) -> DataFrame:
     """Deterministic order by hash; the same seed and round give the same order on any cluster."""
-    return df.orderBy(F.xxhash64(F.lit(seed + round_), ident), ident)
+    return df.orderBy(_shuffle_key(ident, seed, round_), ident)
+
+
+def _shuffle_key(ident: Column, seed: int, round_: int = 0) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed + round_}:"), ident.cast("string")).cast("binary"))
+
+
+def shuffle_places(df: DataFrame, ident: str, seed: int, name: str = "place", round_: int = 0) -> DataFrame:
+    """The 0-based place of each row in that order; ids are unique. No task sorts all rows."""
+    return rank(df.withColumn("_key", _shuffle_key(F.col(ident), seed, round_)), [], ["_key", ident], name).drop("_key")
 
 
 def weighted_draws(df: DataFrame, ident: str, source: str, power: float, draws: int, seed: int) -> DataFrame:
@@ -93,7 +102,7 @@ def weighted_draws(df: DataFrame, ident: str, source: str, power: float, draws:
     shares = expected_ratio(df, source, power)
     upto = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0)
     cum = shares.withColumn("_hi", F.sum("ratio").over(upto)).withColumn("_lo", F.col("_hi") - F.col("ratio"))
-    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "draw"), F.lit(1 << 52)) / float(1 << 52)
+    unit = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     table = cum.agg(F.array_sort(F.collect_list(F.struct("_hi", "_lo", "n", F.col(source).alias("s")))).alias("_t"))
     picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(table)).withColumn("_u", unit(1))
     chosen = F.coalesce(F.get(F.filter("_t", lambda x: F.col("_u") < x["_hi"]), 0), F.element_at("_t", -1))

@@ -65,13 +65,13 @@ def label_reason(label: Column) -> Column:
         ("spatial_label", among(P.SPATIAL_WORDS)),
         ("text_like_label", among(P.TEXTLIKE_WORDS)),
         ("appearance_artifact_label", among(P.ARTIFACT_WORDS)),
-        ("generic_head_noun", head.isin(P.BAD_HEAD_WORDS)),
+        ("generic_head_noun", head.isin(*P.BAD_HEAD_WORDS)),
         ("too_many_tokens", n > 4),
-        ("attribute_only_label", (n == 1) & head.isin(P.ATTRIBUTE_WORDS)),
-        ("abstract_category_label", (n == 1) & head.isin(P.ABSTRACT_WORDS)),
+        ("attribute_only_label", (n == 1) & head.isin(*P.ATTRIBUTE_WORDS)),
+        ("abstract_category_label", (n == 1) & head.isin(*P.ABSTRACT_WORDS)),
         ("functional_phrase", (n >= 2) & among(P.FUNCTIONAL_WORDS)),
         ("relational_phrase", (n >= 3) & among(P.RELATIONAL_WORDS)),
-        ("generic_non_instance", low.isin(P.GENERIC_LABELS)),
+        ("generic_non_instance", low.isin(*P.GENERIC_LABELS)),
     ])
 
 
@@ -275,5 +275,5 @@ def adapter_targets(modules: DataFrame, scope: str = "vision+llm") -> DataFrame:
     if scope not in P.MODULE_SCOPES:
         raise ValueError(f"no such scope: {scope}")
     leaf = F.element_at(F.split("module_name", r"\."), -1)
-    found = modules.withColumn("leaf_name", leaf).where(F.col("leaf_name").isin(P.MODULE_LEAVES)).withColumn("branch", module_branch(F.col("module_name")))
+    found = modules.withColumn("leaf_name", leaf).where(F.col("leaf_name").isin(*P.MODULE_LEAVES)).withColumn("branch", module_branch(F.col("module_name")))
     return found.where(F.col("branch").isin(*P.MODULE_SCOPES[scope]))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank
+from .ranking import LIMIT, first_rows, rank
 
 
 def with_rank(df: DataFrame, source: str, order: Sequence[str], name: str = "source_rank") -> DataFrame:
@@ -41,12 +41,11 @@ def quota_cap(df: DataFrame, quotas: Mapping[str, int] | None, cap: int, source:
     """The first rows of each source up to its quota (0 shuts it, none is no limit), then the first
     ``cap`` of them by source and rank. Adds the rank within the source, 1-based.
 
-    No source can give more than ``cap`` rows, so the rank has a fixed limit, which Spark applies to
-    each task before the shuffle.
+    No source can give more than ``cap`` rows, so only first rows are ranked (``ranking.first_rows``).
     """
     quotas = dict(quotas or {})
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(source)) if quotas else F.lit(None).cast("int")
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col(name) <= cap)
+    ranked = first_rows(df, [source], order, cap, name)
     return ranked.where(F.col(name) <= F.coalesce(limit, F.lit(cap))).orderBy(source, name).limit(cap)
 
 
@@ -68,7 +67,10 @@ def prefix_until(df: DataFrame, hit: Column, order: Sequence, n: int, by: Sequen
     return df.join(F.broadcast(stop)).where((F.col("_n") < n) | (key <= F.col("_stop"))).drop("_stop", "_n")
 
 
-def first_per_group(df: DataFrame, by: Sequence, order: Sequence, n: int | Column = 1) -> DataFrame:
+def first_per_group(df: DataFrame, by: Sequence, order: Sequence, n: int = 1) -> DataFrame:
+    """The first n rows of each group. Beyond 1000 rows ``by`` and ``order`` are column names."""
+    if n > LIMIT:
+        return first_rows(df, by, order, n).drop("_nth")
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
@@ -114,8 +116,8 @@ def prefix_summary(df: DataFrame, n_points: Column, target: int, at: str, start:
 def quota_marks(df: DataFrame, kept: Column, quota: int, source: str, order: str) -> DataFrame:
     """Add ``within_quota`` to kept rows: among the first ``quota`` of their source by ``order`` (unique).
 
-    Only the first rows of each source are ranked, and the rank limit applies before the shuffle; the
-    last of them is the mark that all rows are compared with. A source of any size stays spread out.
+    Only the first rows of each source are ranked (``ranking.first_rows``); the last of them is the mark
+    that all rows are compared with. A source of any size stays spread out.
     """
     first = first_per_group(df.where(kept).select(source, order), [source], [order], quota)
     marks = first.groupBy(source).agg(F.max(order).alias("_mark"))

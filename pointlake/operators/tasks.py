@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import patterns as P
 from ..functions import text as X
-from .ranking import rank
+from .ranking import first_rows, rank
 from .rules import object_reasons
 from .selection import first_per_group
 
@@ -141,9 +141,14 @@ def first_accepted(judged: DataFrame, by: Sequence[str], position: str, accepted
 
 
 def task_quota(candidates: DataFrame, targets: Mapping[str, int], order: Sequence[str]) -> DataFrame:
-    """The first rows of each task type up to its target; task types without one give none."""
-    want = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, max(0, int(v)))]), F.col("task_type")), F.lit(0))
-    return first_per_group(candidates, ["task_type"], order, want)
+    """The first rows of each task type up to its target; task types without one give none. ``order``
+    names columns."""
+    wanted = {k: int(v) for k, v in targets.items() if int(v) > 0}
+    if not wanted:
+        return candidates.limit(0)
+    named = candidates.where(F.col("task_type").isin(*wanted))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col("task_type"))
+    return first_rows(named, ["task_type"], order, max(wanted.values())).where(F.col("_nth") <= limit).drop("_nth")
 
 
 def targets_for(total: int) -> dict[str, int]:
@@ -162,19 +167,29 @@ def dedup_sorted(candidates: DataFrame, inserted: str) -> DataFrame:
 def one_per_image(candidates: DataFrame, remaining: Mapping[str, int]) -> DataFrame:
     """One candidate for each image, scarce tasks first, within what remains of each task.
 
-    Greedy and order-dependent over tasks, not over rows: for each task in turn, a distributed rank
-    picks the first images that have it and are not taken yet.
+    Greedy and order-dependent over tasks, not over rows. One aggregate gives each image its best
+    candidate for each task. Then each task in turn finds the last image it takes; an image is taken
+    by the first task whose mark it does not pass, which is a comparison in its row.
     """
-    left, chosen = candidates, None
-    for task in sorted(remaining, key=lambda t: (P.TASK_SHARES.get(t, 0), t)):
-        n = max(0, int(remaining[task]))
-        if not n:
-            continue
-        best = first_per_group(left.where(F.col("task_type") == task), ["image_id"], ["image_order", "object_order", "task_rank", "candidate_id"])
-        took = best.orderBy("image_order", "image_id").limit(n)
-        chosen = took if chosen is None else chosen.unionByName(took)
-        left = left.join(took.select("image_id"), "image_id", "left_anti")
-    return candidates.limit(0) if chosen is None else chosen
+    tasks = [t for t in sorted(remaining, key=lambda t: (P.TASK_SHARES.get(t, 0), t)) if int(remaining[t]) > 0]
+    if not tasks:
+        return candidates.limit(0)
+    row, order = F.struct(*[F.col(c).alias(c) for c in candidates.columns]), F.struct("image_order", "object_order", "task_rank", "candidate_id")
+    best = [F.min_by(row, F.when(F.col("task_type") == t, order)).alias(f"_{k}") for k, t in enumerate(tasks)]
+    images = candidates.where(F.col("task_type").isin(*tasks)).groupBy("image_id").agg(*best)
+    kinds = {c: candidates.schema[c].dataType for c in ("image_order", "image_id")}
+    taken, won = F.lit(False), F.lit(None).cast("int")
+    for k, t in enumerate(tasks):
+        place = F.struct(F.col(f"_{k}.image_order").alias("image_order"), F.col("image_id").alias("image_id"))
+        free = F.col(f"_{k}").isNotNull() & ~taken
+        last = images.where(free).select(place.alias("at")).orderBy("at").limit(int(remaining[t])).agg(F.max("at").alias("at")).first()["at"]
+        if last is not None:
+            mark = F.struct(*[F.lit(last[c]).cast(v).alias(c) for c, v in kinds.items()])
+            mine = free & (place <= mark)
+            won = F.when(mine, F.lit(k)).otherwise(won)
+            taken = taken | mine
+    chosen = F.coalesce(*[F.when(won == k, F.col(f"_{k}")) for k in range(len(tasks))])
+    return images.select(chosen.alias("_row")).where("_row is not null").select("_row.*")
 
 
 def renumber(df: DataFrame, key: str, order: str, start: int = 0) -> DataFrame:
@@ -199,7 +214,7 @@ def questions(candidates: DataFrame, templates: DataFrame, group: Column, values
     and repeats are dropped. One row for each question, with style_index."""
     lib = templates.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("lib")).withColumnRenamed("group", "_g")
     both = candidates.withColumn("_g", group).join(lib, "_g")
-    shuffled = F.array_sort(F.transform("lib", lambda t: F.struct(F.xxhash64(F.lit(seed), "candidate_id", t["pos"]).alias("k"), t["pos"].alias("p"), t["text"].alias("t"))))
+    shuffled = F.array_sort(F.transform("lib", lambda t: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("candidate_id").cast("string"), t["pos"].cast("string")).cast("binary")).alias("k"), t["pos"].alias("p"), t["text"].alias("t"))))
     filled = F.transform(F.slice(shuffled, 1, k), lambda t: X.fill(t["t"], values))
     good = F.array_distinct(F.filter(filled, lambda q: ~q.rlike(r"\{[a-z_]+\}")))
     return both.withColumn("_q", good).select(*candidates.columns, F.posexplode("_q").alias("style_index", "question"))

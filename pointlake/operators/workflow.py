@@ -6,7 +6,7 @@ Responses are rows (sample_id, attempt, stage, turn, text, finish_reason). Model
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,21 @@ def chosen_turn(responses: DataFrame, keys: list[str], turn: str, valid: Column,
     return g.select(*keys, F.when(F.col("valid"), F.col("_first")).otherwise(F.col("_last")).alias(name), "valid", "turns")
 
 
+def repair_prompts(responses: DataFrame, keys: list[str], turn: str, stage: str, valid: Column, output: Column, build: Callable[[Column], Column], retries: int = 2, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """The next prompt of each session of a stage that no turn has settled and that may be tried again.
+
+    Turns are numbered from 1. ``build`` makes the prompt from the last output (and from ``carry``, columns
+    of the session's last row, by name): a template filled by ``functions.text.fill``, or any Column.
+    Sessions after ``1 + retries`` turns are exhausted and give no row. One aggregate.
+    """
+    carry = dict(carry or {})
+    rows = responses.select(*keys, F.col(turn).alias("_t"), F.coalesce(valid, F.lit(False)).alias("_ok"), F.struct(F.coalesce(output, F.lit("")).alias("_out"), *[c.alias(k) for k, c in carry.items()]).alias("_row"))
+    g = rows.groupBy(*keys).agg(F.bool_or("_ok").alias("_ok"), F.max("_t").alias("_t"), F.max_by("_row", "_t").alias("_row"))
+    again = g.where(~F.col("_ok") & (F.col("_t") <= retries)).select(*keys, "_t", "_row.*")
+    name = F.concat(F.lit(f"{stage}_repair_"), F.col("_t").cast("string"))
+    return again.select(*keys, (F.col("_t") + 1).alias(turn), name.alias("stage"), build(F.col("_out")).alias("prompt"))
+
+
 def stage_columns(responses: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each sample: what each stage said in the end. A single pass over the responses."""
     parsers: dict[str, Callable[[Column], Column]] = {"cleaning": J.cleaning_output, "multipoint": J.multipoint_output, "classification": J.classifier_output, "rewrite": X.rewritten}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_metrics, q_relations, q_rules, q_selection, q_streams, q_text  # noqa: F401
+from . import q_io, q_metrics, q_relations, q_rules, q_selection, q_streams, q_text  # noqa: F401
 from .registry import FOUND, Query
 
 

@@ -138,7 +138,21 @@ def dense_renumber(spark, sf):
     return T.renumber(o, "o_custkey", "o_orderkey", 100).select("o_orderkey", "new_order")
 
 
-@query()
+def _names(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _greedy_sql() -> str:
+    """Task after task: the best candidate of each image that is still free, the first images up to the quota."""
+    quota, out = T.targets_for(1000), []
+    for k, t in enumerate(sorted(quota, key=lambda t: (T.P.TASK_SHARES[t], t))):
+        free = "".join(f" AND image_id NOT IN (SELECT image_id FROM w{j})" for j in range(k))
+        best = f"SELECT * FROM c WHERE task_type = '{t}'{free} QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY image_order, object_order, task_rank, candidate_id) = 1"
+        out.append(f"w{k} AS (SELECT * FROM ({best}) ORDER BY image_order, image_id LIMIT {quota[t]})")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT image_id, candidate_id, task_type FROM w{k}" for k in range(len(out)))
+
+
+@query(f"WITH {_OBJECTS}, c AS (SELECT *, image_id AS image_order, {_names(T.P.TASK_TYPES)}[object_id % 5 + 1] AS task_type, object_id % 5 AS task_rank, object_id AS candidate_id FROM o), {_greedy_sql()}")
 def greedy_one_per_group(spark, sf):
     """One candidate for each image, scarce tasks first."""
     o = objects(spark, sf)

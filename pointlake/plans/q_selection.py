@@ -135,7 +135,9 @@ def union_by_name(spark, sf):
     return ST.rows_of_all(e, table(spark, sf, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
 
 
-@query("SELECT count(*) AS n_whole, count(*) AS n_parts, true AS complete FROM orders")
+@query("""
+SELECT count(*) AS n_whole, count(*) FILTER (o_totalprice > 1000) + count(*) FILTER (NOT coalesce(o_totalprice > 1000, false)) AS n_parts,
+  count(*) = count(*) FILTER (o_totalprice > 1000) + count(*) FILTER (NOT coalesce(o_totalprice > 1000, false)) AS complete FROM orders""")
 def complement_split(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return ST.split_complete(o, ST.split(o, F.col("o_totalprice") > 1000))
@@ -224,17 +226,27 @@ def sample_manifest(spark, sf):
     return B.manifest(table(spark, sf, "documents"), "doc_id", "lang", "source", 6, 3, F.md5(F.concat(F.lit("7:"), "doc_id").cast("binary")))
 
 
-@query()
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS place FROM documents")
 def seeded_shuffle(spark, sf):
-    return B.shuffled(table(spark, sf, "documents").select("doc_id", "source"), F.col("doc_id"), 42)
+    return B.shuffle_places(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 42)
 
 
-@query()
+@query("""
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), e AS (SELECT *, n * pow(1.0::DOUBLE / n, 0.5) / sum(n * pow(1.0::DOUBLE / n, 0.5)) OVER () AS r FROM c),
+h AS (SELECT *, sum(r) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS hi, row_number() OVER (ORDER BY source DESC) = 1 AS last FROM e),
+d AS (SELECT range AS draw, ('0x' || substr(md5('3:1:' || range), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u, ('0x' || substr(md5('3:2:' || range), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS v FROM range(1000)),
+s AS (SELECT draw, v, arg_min(source, hi) AS source, arg_min(n, hi) AS n FROM d JOIN h ON u < hi OR last GROUP BY draw, v),
+k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT draw, doc_id, k.source FROM s JOIN k ON k.source = s.source AND k.i = floor(v * n)::BIGINT""")
 def weighted_replacement_sample(spark, sf):
     return B.weighted_draws(table(spark, sf, "documents"), "doc_id", "source", 0.5, 1000, 3)
 
 
-@query("SELECT doc_id, 'mix4_' || source AS root, 'benchmark_extract' AS method FROM documents")
+@query("""
+WITH d AS (SELECT doc_id, CASE n_chars % 7 WHEN 0 THEN 'sam_clean_' || lang WHEN 1 THEN lang || '_three_types' WHEN 2 THEN 'run_3types_' || source WHEN 3 THEN 'mix4_' || source WHEN 4 THEN lang || '_pointsabs' WHEN 5 THEN NULL ELSE source || '_mix4' END AS root FROM documents)
+SELECT doc_id, root, CASE WHEN starts_with(root, 'sam_clean') THEN 'sam_clean' WHEN contains(root, 'three_types') OR contains(root, '3types') THEN 'clean_3types_local' WHEN starts_with(root, 'mix4') OR contains(root, 'pointsabs') THEN 'benchmark_extract' ELSE 'unknown' END AS method FROM d""")
 def cleaning_methods(spark, sf):
-    d = table(spark, sf, "documents").withColumn("root", F.concat(F.lit("mix4_"), "source"))
+    k = F.col("n_chars") % 7
+    root = F.when(k == 0, F.concat(F.lit("sam_clean_"), "lang")).when(k == 1, F.concat("lang", F.lit("_three_types"))).when(k == 2, F.concat(F.lit("run_3types_"), "source")).when(k == 3, F.concat(F.lit("mix4_"), "source")).when(k == 4, F.concat("lang", F.lit("_pointsabs"))).when(k == 6, F.concat("source", F.lit("_mix4")))
+    d = table(spark, sf, "documents").withColumn("root", root)
     return d.select("doc_id", "root", X.cleaning_method(F.col("root")).alias("method"))

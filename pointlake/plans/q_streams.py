@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from .registry import query
-
-
-def _work(spark) -> str:
-    """A folder for checkpoints and tables: in the shared folder where the cluster names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    own = tempfile.mkdtemp(prefix="pointlake-stream-")
-    atexit.register(shutil.rmtree, own, True)
-    return f"file://{own}"
+from .registry import work_folder as _work
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -67,11 +67,13 @@ def top_n_per_style(spark, sf):
     return S.first_per_group(table(spark, sf, "documents").select(style.alias("style"), "doc_id"), ["style"], ["doc_id"], 8)
 
 
-@query("""
-WITH q(id, task) AS (VALUES (1, 'free_space_reference'), (2, 'spatial_relation'), (3, 'counting'), (4, 'counting'), (5, 'affordance'), (6, 'reasoning'), (7, 'object_reference'), (8, 'unknown')) SELECT * FROM q""")
+_TASKS = " ".join(f"WHEN {' OR '.join(f"contains(low, '{w}')" for w in words)} THEN '{name}'" for name, words in P.COARSE_TASKS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, CASE {_TASKS} ELSE 'unknown' END AS task FROM d""")
 def coarse_task(spark, sf):
-    rows = [(1, "the vacant seat"), (2, "left of the cup"), (3, "how many cups"), (4, "a small cup"), (5, "a tool"), (6, "the most likely one"), (7, "point at it"), (8, "cup")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", X.coarse_task(F.col("q")).alias("task"))
+    """Whole texts by the first list of which a word stands in them."""
+    return table(spark, sf, "documents").select("doc_id", X.coarse_task(F.col("text")).alias("task"))
 
 
 @query("""
@@ -129,9 +131,9 @@ def stable_seed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.floor(seed / 16).cast("long").alias("seed_head"))
 
 
-@query("""SELECT doc_id, '| ' || replace(replace(left(text, 40), '|', '\\|'), chr(10), ' ') AS cell FROM documents""")
+@query("""SELECT doc_id, '| ' || replace(replace(text, '|', '\\|'), chr(10), ' ') AS cell FROM documents""")
 def markdown_cell(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("| "), X.markdown(F.substring("text", 1, 40))).alias("cell"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("| "), X.markdown(F.col("text"))).alias("cell"))
 
 
 @query("SELECT c_custkey, replace(c_name, '#', '_') AS key FROM customer")
@@ -154,15 +156,23 @@ def rewrite_normalize(spark, sf):
     return spark.createDataFrame(rows, "id int, t string").select("id", X.rewritten(F.col("t")).alias("rewritten"))
 
 
-@query("SELECT id, lines FROM (VALUES (1, 'aa bb,cc'), (2, 'abcdefgh,i'), (3, '')) t(id, lines)")
+@query("""
+WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_brand || ' ' || p_type, ' ') AS w FROM part)
+SELECT p_partkey, list_reduce(w, lambda done, x: done || CASE WHEN length(regexp_extract(done, '[^,]*$')) + 1 + length(x) <= 14 THEN ' ' ELSE ',' END || x) AS lines FROM w""")
 def word_wrap(spark, sf):
-    return spark.createDataFrame([(1, "aa bb cc"), (2, "abcdefgh i"), (3, "  ")], "id int, t string").select("id", joined(X.wrap(F.col("t"), 5)).alias("lines"))
+    said = F.concat(F.lit("  "), "p_name", F.lit(" \t "), "p_brand", F.lit("\n"), "p_type", F.lit(" "))
+    return table(spark, sf, "part").select("p_partkey", joined(X.wrap(said, 14)).alias("lines"))
 
 
-@query("SELECT id, seconds FROM (VALUES (1, 12.0::DOUBLE), (2, 7.5), (3, 30.0), (4, NULL)) t(id, seconds)")
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 100)::DOUBLE WHEN event_id % 5 = 0 THEN NULL ELSE greatest(user_id % 50 + 0.5, (event_id % 40)::DOUBLE) END AS seconds FROM events""")
 def retry_after(spark, sf):
-    rows = [(1, "12", ""), (2, None, "retry in 3s, or retry in 7.5s"), (3, "x", "wait 30 seconds"), (4, None, "no")]
-    return spark.createDataFrame(rows, "id int, h string, b string").select("id", X.retry_after(F.col("h"), F.col("b"), (r"retry in ([0-9.]+)s", r"wait ([0-9]+) seconds")).alias("seconds"))
+    """The header where it has digits, else the largest number that the body names."""
+    e = table(spark, sf, "events")
+    text = lambda c: c.cast("string")
+    head = F.when(F.col("event_id") % 3 == 0, text(F.col("event_id") % 100)).when(F.col("event_id") % 3 == 1, "soon")
+    body = F.when(F.col("event_id") % 5 == 0, "no").otherwise(F.concat(F.lit("retry in 0.5s, retry in "), text(F.col("user_id") % 50), F.lit(".5s; wait "), text(F.col("event_id") % 40), F.lit(" seconds")))
+    return e.select("event_id", X.retry_after(head, body, (r"retry in ([0-9.]+)s", r"wait ([0-9]+) seconds")).alias("seconds"))
 
 
 # --- dates ---
@@ -199,10 +209,12 @@ def lenient_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(J.kind(v) == "OBJECT", F.lit(False)).alias("is_object"), F.try_variant_get(v, "$.k", "int").alias("k"))
 
 
-@query("SELECT id, b FROM (VALUES (1, true), (2, true), (3, false), (4, NULL), (5, NULL), (6, true), (7, false)) t(id, b)")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE quality = 1 END AS b FROM labels""")
 def boolish(spark, sf):
-    rows = list(enumerate(("true", '" Yes "', '"drop"', "1", '"maybe"', '"1"', "false"), 1))
-    return spark.createDataFrame(rows, "id int, j string").select("id", J.boolish(F.try_parse_json("j")).alias("b"))
+    """Labels as booleans, as digits in quotes, as words; as bare numbers they say nothing."""
+    good, k = F.col("quality") == 1, F.col("doc_id") % 5
+    said = F.when(k == 0, F.when(good, "true").otherwise("false")).when(k == 1, F.concat(F.lit('" '), "quality", F.lit(' "'))).when(k == 2, F.when(good, '" Yes "').otherwise('"no"')).when(k == 3, F.when(good, '"KEEP"').otherwise('"drop"')).otherwise(F.col("quality").cast("string"))
+    return table(spark, sf, "labels").select("doc_id", J.boolish(F.try_parse_json(said)).alias("b"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE (event_id % 1000)::INT END AS n, trunc(value)::INT AS whole FROM events")
@@ -212,22 +224,37 @@ def int_coerce(spark, sf):
     return e.select("event_id", J.whole_number(said, -1).alias("n"), J.truncated(F.col("value")).alias("whole"))
 
 
-@query("SELECT id, points FROM (VALUES (1, '1.0 2.0'), (2, '3.0 4.5,5.0 6.0'), (3, ''), (4, '')) t(id, points)")
+@query("""
+SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN label || '.0 ' || vec_id || '.0' WHEN 1 THEN label || '.0 ' || vec_id || '.5,' || vec_id || '.0 ' || label || '.0' ELSE '' END AS points FROM embeddings""")
 def point_access(spark, sf):
-    rows = list(enumerate(("[[1, 2]]", '[{"x": 3, "y": 4.5}, [5, 6, 7], ["a"], {"x": 1}]', "[]", "7"), 1))
-    return spark.createDataFrame(rows, "id int, j string").select("id", joined(F.transform(J.points(F.try_parse_json("j")), _shown)).alias("points"))
+    """Pairs, objects, what is neither, and no list at all."""
+    a, b, k = F.col("label").cast("string"), F.col("vec_id").cast("string"), F.col("vec_id") % 4
+    both = X.fill(F.lit('[{"x": A, "y": B.5}, [B, A, 7], ["a"], {"x": 1}]'.replace("A", "{a}").replace("B", "{b}")), {"a": a, "b": b})
+    said = F.when(k == 0, F.concat(F.lit("[["), a, F.lit(", "), b, F.lit("]]"))).when(k == 1, both).when(k == 2, F.lit("[]")).otherwise(b)
+    return table(spark, sf, "embeddings").select("vec_id", joined(F.transform(J.points(F.try_parse_json(said)), _shown)).alias("points"))
+
+
+_SAID = f"[{', '.join(f"'{c}'" for c in P.CATEGORIES)}][doc_id % {len(P.CATEGORIES)} + 1]"
 
 
-@query("SELECT id, category FROM (VALUES (1, 'Counting'), (2, 'Reasoning'), (3, 'Affordance'), (4, NULL)) t(id, category)")
+@query(f"SELECT doc_id, CASE WHEN n_chars % 4 = 3 THEN NULL ELSE {_SAID} END AS category FROM documents")
 def classifier_parse(spark, sf):
-    rows = list(enumerate(('{"category": "counting"}', 'Sure {"thought": "x", "category": "Reasoning"} ok', "I think it is affordance, not counting", "none of these"), 1))
-    return spark.createDataFrame(rows, "id int, t string").select("id", J.classifier_output(F.col("t")).alias("category"))
+    """Answers that are JSON, hold JSON, only name a category, or name none."""
+    name, k = F.element_at(F.array(*map(F.lit, P.CATEGORIES)), (F.col("doc_id") % len(P.CATEGORIES) + 1).cast("int")), F.col("n_chars") % 4
+    said = F.when(k == 0, F.concat(F.lit('{"category": "'), F.lower(name), F.lit('"}'))).when(k == 1, F.concat(F.lit('Sure {"thought": "'), F.coalesce("lang", F.lit("")), F.lit('", "category": "'), name, F.lit('"} ok'))).when(k == 2, F.concat(F.lit("I think it is "), name, F.lit(", if anything"))).otherwise(F.concat(F.lit("no idea "), F.coalesce("source", F.lit(""))))
+    return table(spark, sf, "documents").select("doc_id", J.classifier_output(said).alias("category"))
 
 
-@query("""SELECT id, points FROM (VALUES (1, '12 34'), (2, '13 34'), (3, '19 0'), (4, '10 20,30 40'), (5, '')) t(id, points)""")
+@query(f"""
+WITH p AS (SELECT vec_id, greatest(2, round_even(x * 1000, 0)::INT) AS a, greatest(2, round_even(y * 1000, 0)::INT) AS b FROM ({_XY}))
+SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN a || ' ' || 2 * b WHEN 1 THEN a || ' ' || 2 * b || CASE WHEN a = 7 AND b = 9 THEN '' ELSE ',7 18' END ELSE '' END AS points FROM p""")
 def point_tag_parse(spark, sf):
-    rows = [(1, "<point>120,340</point>", 100, 100), (2, "<point>0.127,0.342</point>", 100, 100), (3, "<point>9999,-10</point>", 20, 30), (4, "<points>100,200; 300,400; 100,200</points>", 101, 101), (5, "nothing", 9, 9)]
-    return spark.createDataFrame(rows, "id int, t string, w int, h int").select("id", joined(F.transform(PR.parse_points("t", "w", "h"), _shown)).alias("points"))
+    """A point tag, one of several points with a repeat, and a text without any; images of 1001 by 2001 pixels."""
+    part = lambda c: F.greatest(F.lit(2), F.rint(F.col(c) * 1000).cast("int")).cast("string")
+    pair, k = F.concat(part("x"), F.lit(","), part("y")), F.col("vec_id") % 3
+    said = F.when(k == 0, F.concat(F.lit("<point>"), pair, F.lit("</point>"))).when(k == 1, F.concat(F.lit("<points>"), pair, F.lit("; 7,9; "), pair, F.lit("</points>"))).otherwise("nothing")
+    t = _xy(spark, sf).select("vec_id", said.alias("t"), F.lit(1001).alias("w"), F.lit(2001).alias("h"))
+    return t.select("vec_id", joined(F.transform(PR.parse_points("t", "w", "h"), _shown)).alias("points"))
 
 
 @query("SELECT id, t FROM (VALUES (1, 'see (208, 233)'), (2, '(200, 350)'), (3, '(1000, 0)'), (4, 'none')) t(id, t)")
@@ -257,6 +284,20 @@ def first_valid_turn(spark, sf):
     return W.chosen_turn(c, ["conv_id"], "turn", F.length("text") > 200, F.col("text"))
 
 
+@query("""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations WHERE role = 'assistant'),
+g AS (SELECT conv_id, max(n) AS n, coalesce(bool_or(length(text) > 200), false) AS ok, arg_max(coalesce(text, ''), n) AS last FROM c GROUP BY conv_id)
+SELECT conv_id, n + 1 AS turn, 'rewrite_repair_' || n AS stage, 'Session ' || conv_id || ': that was not valid, answer again.' || chr(10) || last AS prompt FROM g WHERE NOT ok AND n <= 3""")
+def repair_prompts(spark, sf):
+    """The next prompt of sessions without an answer that is long enough, after three turns at most."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "conversations").where("role = 'assistant'").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    build = lambda said: X.fill(F.lit("Session {id}: that was not valid, answer again.\n{previous}"), {"id": F.col("conv_id").cast("string"), "previous": said})
+    out = W.repair_prompts(c, ["conv_id"], "n", "rewrite", F.length("text") > 200, F.col("text"), build, 3)
+    return out.select("conv_id", F.col("n").cast("long").alias("turn"), "stage", "prompt")
+
+
 @query("""
 WITH a AS (SELECT conv_id, turn, text FROM conversations), v AS (SELECT conv_id, min(turn) FILTER (contains(text, '?')) AS good, max(turn) AS last FROM a GROUP BY conv_id)
 SELECT conv_id, coalesce(good, last) AS turn, CASE WHEN good IS NULL THEN 'invalid_sample_exhausted' ELSE 'valid' END AS outcome FROM v""")
@@ -332,7 +373,10 @@ def template_explode(spark, sf):
     return p.select("p_partkey", F.posexplode(lines).alias("style_index", "question"))
 
 
-@query()
+@query("""
+WITH t(pos, text) AS (VALUES (0, 'Point to the {label}'), (1, 'Find the {label}'), (2, 'Where is the {label}?'), (3, 'Show {label}'), (4, '{missing} {label}')),
+p AS (SELECT p_partkey, replace(text, '{label}', p_name) AS q, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('0:' || p_partkey || ':' || pos)) AS r FROM part, t)
+SELECT p_partkey AS candidate_id, (row_number() OVER (PARTITION BY p_partkey ORDER BY r) - 1)::INT AS style_index, q AS question FROM p WHERE r <= 3 AND NOT contains(q, '{missing}')""")
 def template_questions(spark, sf):
     """Three templates by hash for each part, filled in."""
     lib = spark.createDataFrame([("g", k, t) for k, t in enumerate(("Point to the {label}", "Find the {label}", "Where is the {label}?", "Show {label}", "{missing} {label}"))], "group string, pos int, text string")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +37,16 @@ def joined(values):
     from pyspark.sql import functions as F
 
     return F.array_join(values, ",")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where driver
+    and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="pointlake-work-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}"

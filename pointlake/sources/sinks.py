@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(early, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(final, False)
-    if not fs.rename(early, final):
-        raise OSError(f"could not rename to {path}")
+    # One rename that replaces what is there: a reader sees the old document or the new one.
+    how = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(early, final, over)
 
 
 def write_document(spark: SparkSession, path: str, payload: object) -> None:
@@ -43,9 +46,48 @@ def sample_file(source: Column, rank: Column, safe_id: Column) -> Column:
 
 
 def write_samples(df: DataFrame, path: str, source: str = "source", mode: str = "append") -> None:
+    """Samples in files of many rows, by source: for runs whose single documents nothing looks up."""
     df.write.mode(mode).partitionBy(source).json(path)
 
 
+def write_files(df: DataFrame, folder: str, name: Column, content: Column) -> int:
+    """One file for each row, ``name`` (of parts joined by /) under the folder; how many were written.
+
+    Tasks write under a name of their own and rename, so a file is whole or not there, and a task that
+    runs again replaces what it wrote. Names are unique; a null name or content is an error.
+    """
+
+    def write(it):
+        from pyspark import TaskContext
+
+        from .scans import _open
+
+        own, root = _open(folder)
+        task, n, made = TaskContext.get().taskAttemptId(), 0, set()
+        for b in it:
+            for at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if at is None or data is None:
+                    raise ValueError("a file needs a name and content")
+                parent, _, last = f"{root.rstrip('/')}/{at}".rpartition("/")
+                if parent not in made:
+                    own.create_dir(parent, recursive=True)
+                    made.add(parent)
+                early = f"{parent}/.{last}.{task}.tmp"
+                with own.open_output_stream(early, compression=None) as f:
+                    f.write(data)
+                own.move(early, f"{parent}/{last}")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows = df.select(name.cast("string").alias("name"), content.cast("binary").alias("content"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def write_sample_files(df: DataFrame, root: str, source: Column, rank: Column, safe_id: Column, payload: Column) -> int:
+    """<root>/<source>/<rank>__<id>.json for each sample: what resuming looks up."""
+    return write_files(df, root, sample_file(source, rank, safe_id), payload)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small index in one file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
