@@ -33,7 +33,7 @@ from .common import fresh, numbered, renamed
 
 KINDS = ("email", "ip", "card", "phone")
 #: The most labelled rows that the trees are fitted on.
-LABELLED = 1600
+LABELLED = 2400
 TREES, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.97
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -42,17 +42,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Runs of digits and separators that hold seven digits or three inner dots; the latter may follow a plus.
 RUN = (
-    r"(?:(?:\G|(?<![0-9+]))(?=\(?\+?(?:[\x20().+-]*+[0-9]){7}|\(?[0-9]++\.[0-9]++\.[0-9]++\.[0-9])"
-    r"|(?<=\+)(?=[0-9]++\.[0-9]++\.[0-9]++\.[0-9]))\(?[0-9+][0-9\x20().+-]*+"
+    r"(?:(?:\G|(?<![0-9+]))(?=\(?\+?(?:[\x20().+/-]*+[0-9]){7}|\(?[0-9]++\.[0-9]++\.[0-9]++\.[0-9])"
+    r"|(?<=\+)(?=[0-9]++\.[0-9]++\.[0-9]++\.[0-9]))\(?[0-9+][0-9\x20().+/-]*+"
 )
-OPEN_CARD = r"(?<![0-9])[0-9](?:[\x20.-]{0,2}[0-9]){12,18}(?![0-9])"
-OPEN_PHONE = r"(?<![0-9])(?:\+\x20?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20.-]{1,3}\(?[0-9]{2,8}\)?){1,6}(?![0-9])|(?<![0-9])[0-9]{10,11}(?![0-9])"
+OPEN_CARD = r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){12,18}(?![0-9])"
+OPEN_PHONE = r"(?<![0-9])(?:\+\x20?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20./-]{1,3}\(?[0-9]{2,8}\)?){1,6}(?![0-9])|(?<![0-9])[0-9]{10,11}(?![0-9])"
 OPEN_IP = r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}(?![0-9])"
 OPEN_EMAIL = (
-    r"(?i)(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}\x20?(?:@|\[at\]|\(at\)|\{at\}|\x20at\x20|<at>)\x20?[\p{L}\p{N}-]{1,63}"
-    r"(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\}|\x20dot\x20|<dot>)\x20?[\p{L}\p{N}-]{1,63}){1,4}"
+    r"(?i)(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}(?:\x20?(?:@|[\[({<]at[\])}>])\x20?|\x20at\x20)[\p{L}\p{N}-]{1,63}"
+    r"(?:(?:\.|\x20?[\[({<]dot[\])}>]\x20?|\x20(?:dot|punkt|punto)\x20)[\p{L}\p{N}-]{1,63}){1,4}"
 )
-FEATURES = ("kind", "digits", "groups", "seps", "dots", "parens", "luhn", "octets", "glued", "hint", "against", "date", "size", "last", "zero", "marks")
+FEATURES = ("kind", "digits", "groups", "seps", "dots", "parens", "luhn", "octets", "glued", "hint", "against", "date", "size", "last", "zero", "marks", "slashes", "years", "zeros")
 _HINT = (r"(?i)(mail|contact|write|kontakt|correo|courriel)", r"(?i)(\bip\b|host|server|address|addr|ping|from)", r"(?i)(card|visa|credit|amex|master|payment|karte|carte|tarjeta|\bcc\b)", r"(?i)(phone|tel|call|mobile|fax|cell|whatsapp|sms|\bring\b|mobil|handy)")
 _AGAINST = r"(?i)(order|invoice|isbn|issn|version|\bv\b|page|serial|item|sku|ref|\bid\b|total|sum|price|lines|pi\b|ratio|year|date|section|build|room|score|between)"
 
@@ -129,7 +129,7 @@ def candidates(text: Column) -> Column:
 
     email = F.when(F.contains(text, F.lit("@")), F.transform(find(text, EMAIL), lambda x: _plain(x, 0, True))).otherwise(none)
     low = F.lower(text)
-    spelt = has(low, "@") | (has(low, "dot", ".") & has(low, "[at]", "(at)", "{at}", "<at>", " at ") & has(low, "[at]", "(at)", "{at}", "<at>", " dot "))
+    spelt = has(low, "@") | (has(low, "dot", ".", " punkt ", " punto ") & has(low, "[at]", "(at)", "{at}", "<at>", " at ") & has(low, "[at]", "(at)", "{at}", "<at>", " dot ", " punkt ", " punto "))
     open_email = F.when(spelt, F.transform(find(text, OPEN_EMAIL), lambda x: _plain(x, 0, False))).otherwise(none)
     open_ip = F.when(has(low, "[.]", "(.)", "[dot]", "(dot)", " . "), F.transform(find(text, OPEN_IP), lambda x: _plain(x, 1, False))).otherwise(none)
 
@@ -174,11 +174,14 @@ def features(c: Column) -> dict[str, Column]:
         "glued": flag(c["before"].rlike(r"[\p{L}\p{N}_/.,-]$")) + flag(c["after"].rlike(r"^([\p{L}\p{N}_/%]|[.,-][0-9])")),
         "hint": flag(hints),
         "against": flag(c["before"].rlike(_AGAINST)),
-        "date": flag(m.rlike(r"(?:^|[^0-9])(?:(?:19|20)[0-9]{2}[-.\x20](?:0?[1-9]|1[0-2])[-.\x20](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-.\x20](?:0?[1-9]|1[0-2])[-.\x20](?:19|20)[0-9]{2})(?:[^0-9]|$)|^(?:19|20)[0-9]{2}[\x20-]+(?:19|20)[0-9]{2}")),
+        "date": flag(m.rlike(r"(?:^|[^0-9])(?:(?:19|20)[0-9]{2}[-./\x20](?:0?[1-9]|1[0-2])[-./\x20](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-./\x20](?:0?[1-9]|[12][0-9]|3[01])[-./\x20](?:19|20)[0-9]{2})(?:[^0-9]|$)|^(?:19|20)[0-9]{2}[\x20-]+(?:19|20)[0-9]{2}")),
         "size": F.length(m),
         "last": F.length(last),
         "zero": flag(m.rlike(r"^\(?0")),
-        "marks": flag(m.rlike(r"(?i)(@|[\[({<](at|dot)[\])}>]|\[\.\]|\x20dot\x20)")),
+        "marks": flag(m.rlike(r"(?i)(@|[\[({<](at|dot)[\])}>]|\[\.\]|\x20(?:dot|punkt|punto)\x20)")),
+        "slashes": F.length(F.regexp_replace(m, "[^/]+", "")),
+        "years": F.size(F.regexp_extract_all(m, F.lit(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), 0)),
+        "zeros": F.length(F.regexp_replace(d, "[^0]+", "")),
     }
 
 
@@ -258,14 +261,17 @@ def labelled_rows(n: int = LABELLED, seed: int = 5) -> list[dict]:
     tld = lambda: r.choice(("com", "org", "net", "de", "fr", "example", "io", "co.uk"))
     octet = lambda: str(r.choice((r.randint(0, 255), r.randint(0, 255), r.randint(0, 9), 10)))
     true = [
-        (("phone", "tel", "call", "fax", "", "", "at"), lambda: r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(4)} {num(6)}", f"+ {num(2)} {num(3)} {num(6)}"))),
+        (("phone", "tel", "call", "fax", "", "", "at"), lambda: r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(4)} {num(6)}", f"+ {num(2)} {num(3)} {num(6)}", f"0{num(3)}/{num(7)}", f"0{num(2)}/{num(3)} {num(4)}", f"{num(3)}/{num(3)}-{num(4)}"))),
         (("phone:", "call", "mobile", "tel."), lambda: r.choice((num(10), "0" + num(10), f"0{num(3)}-{num(7)}"))),
-        (("card", "visa", "paid with", "", "credit card", "cc"), lambda: r.choice((spread(card(16), (4, 4, 4, 4), "."), spread(card(16), (4, 4, 4, 4), "  "), spread(card(15), (4, 6, 5), r.choice(" -")), card(15), spread(card(16), (4, 4, 4, 4), " - "), spread(card(14), (4, 6, 4), " ")))),
+        (("card", "visa", "paid with", "", "credit card", "cc"), lambda: r.choice((spread(card(16), (4, 4, 4, 4), "."), spread(card(16), (4, 4, 4, 4), "  "), spread(card(15), (4, 6, 5), r.choice(" -")), card(15), spread(card(16), (4, 4, 4, 4), " - "), spread(card(14), (4, 6, 4), " "), spread(card(16), (4, 4, 4, 4), "/")))),
         (("ip", "host", "from", "", "server"), lambda: r.choice(("[.]", "(.)", "[dot]", " . ")).join(octet() for _ in range(4))),
-        (("mail", "contact", "", "write to", "reach"), lambda: r.choice((f"{word()}.{word()} [at] {word()} [dot] {tld()}", f"{word()}(at){word()}.{tld()}", f"{word()}{num(2)} at {word()} dot {tld()}", f"{word()} @ {word()}.{tld()}", f"{word()}[at]{word()}[dot]{tld()}", f"{word()}é@{word()}.{tld()}", f"{word()} (at) {word()} (dot) {tld()}"))),
+        (("mail", "contact", "", "write to", "reach"), lambda: r.choice((f"{word()}.{word()} [at] {word()} [dot] {tld()}", f"{word()}(at){word()}.{tld()}", f"{word()}{num(2)} at {word()} dot {tld()}", f"{word()} @ {word()}.{tld()}", f"{word()}[at]{word()}[dot]{tld()}", f"{word()}é@{word()}.{tld()}", f"{word()} (at) {word()} (dot) {tld()}", f"{word()} (at) {word()} punkt {tld()}", f"{word()}.{word()} at {word()} punto {tld()}", f"{word()}_{word()}{num(1)} [at] {word()}-{word()}.{tld()}"))),
     ]
     false = [
-        (("on", "", "date", "between", "since"), lambda: r.choice((f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)} {num(2)}", f"1{num(1)}.0{r.randint(1, 9)}.19{num(2)} {num(2)}", f"19{num(2)}-20{num(2)}", f"1{num(1)}-0{r.randint(1, 9)}-20{num(2)} - 1{num(1)}-1{r.randint(0, 2)}-20{num(2)}"))),
+        (("on", "", "date", "between", "since"), lambda: r.choice((f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)} {num(2)}", f"1{num(1)}.0{r.randint(1, 9)}.19{num(2)} {num(2)}", f"19{num(2)}-20{num(2)}", f"1{num(1)}-0{r.randint(1, 9)}-20{num(2)} - 1{num(1)}-1{r.randint(0, 2)}-20{num(2)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/20{num(2)} {num(2)}", f"20{num(2)}/{r.randint(10, 12)}/{r.randint(10, 28)}/{num(3)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/19{num(2)}-{r.randint(1, 12)}/{r.randint(1, 28)}/20{num(2)}"))),
+        (("in", "", "years", "editions", "of"), lambda: r.choice((" ".join(str(r.randint(1900, 2040)) for _ in range(r.randint(3, 5))), "-".join(str(r.randint(1900, 2040)) for _ in range(3)), "/".join(str(r.randint(1900, 2040)) for _ in range(r.randint(2, 4)))))),
+        (("at", "", "location", "coordinates", "near"), lambda: r.choice((f"{num(2)}.{num(4)} {num(2)}.{num(4)}", f"{num(2)}.{num(6)} -{num(2)}.{num(6)}", f"{num(1)}.{num(3)} {num(1)}.{num(3)} {num(1)}.{num(3)}"))),
+        (("parcel", "", "tracking", "account", "case", "path"), lambda: r.choice((f"{num(12)} {num(4)} {num(4)}", f"{num(4)}0000000{num(1)} 0000 {num(4)}", f"{num(4)}/{num(2)}/{num(8)}", f"{num(2)}/{num(2)} {num(2)}/{num(2)} {num(2)}/{num(2)}", " ".join(f"{k}0" for k in range(1, r.randint(5, 9)))))),
         (("order", "invoice", "item", "serial", "ref", "id", "total"), lambda: r.choice((num(10), num(11), f"{num(4)}-{num(5)}", f"{num(5)} {num(5)}", spread(num(16), (4, 4, 4, 4), "."), num(13), f"{num(3)}-{num(8)}"))),
         (("isbn",), lambda: f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}"),
         (("", "sum", "total", "lines", "score"), lambda: r.choice((" ".join(num(2) for _ in range(r.randint(4, 7))), " ".join(num(1) for _ in range(9)), f"{num(1)}.{num(3)}.{num(3)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(4)} {num(4)}", f"{num(3)}.{num(6)} {num(2)}.{num(6)}", f"{num(1)}.{num(9)}", num(8) + " " + num(8)))),

@@ -186,6 +186,10 @@ def test_lm_base(spark, sf, hot):
     out = lm_score.lm_score(docs, queries._vocabulary("piece_bpe_32k.model"), hot=hot).collect()
     assert len(out) == docs.count()
     check_lm(out, pairs(docs))
+    path = queries._vocabulary("piece_bpe_32k.model")
+    want = brute.lm_scores(pairs(docs), path, lm_score.vocabulary(path)[0])
+    for r in out:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
 def test_lm_edges(edge, empty):
@@ -196,6 +200,29 @@ def test_lm_edges(edge, empty):
     assert lm_score.lm_score(empty, path).count() == 0
 
 
+def test_lm_of_a_unigram_vocabulary(spark, monkeypatch):
+    """Log probabilities are used as they are; and a model without training documents is the lattice."""
+    monkeypatch.setattr(lm_score, "vocabulary", lambda path: ([b" ", b"a", b" a", b"b"], True))
+
+    class Scores:
+        def __init__(self, model_file):
+            pass
+
+        def get_score(self, k):
+            return (-1.0, -2.0, -1.5, -2.5)[k]
+
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Scores)
+    lattice = lm_score.learn(None, "x")
+    e = np.exp(1)
+    assert lattice.log10(b"ab") == pytest.approx(np.log10((e**-1.5 + e**-3.0) * e**-2.5))
+    model = lm_score.Model(lattice, 0, 0)
+    assert model.log10(b"ab", 0) == pytest.approx(lattice.log10(b"ab")) and model.end(0) == 0.0
+    seen = lm_score.Model(lattice, 10, 4)
+    assert 10 ** seen.log10(b"a", 3) == pytest.approx(2.25 / 10 + 3.0 / 10 * 10 ** lattice.log10(b"a"))
+
+
 def test_lattice():
     weights = {b" ": -1.0, b" a": -0.5, b"a": -0.7, b"ab": -0.9, b"b": -1.1, b"ba": -2.0, b"\xc3": -3.0, b"\xa9": -3.0}
     lattice = lm_score.Lattice(weights)
@@ -206,8 +233,8 @@ def test_lattice():
 
 
 def test_lm_held_out_within_half_of_base(spark, sf):
-    """A unigram over pieces knows no whole words: on held-out texts its log probability may be below
-    the word counts', but by less than a half."""
+    """On held-out texts the log probability may be below the base, which gives all unseen words
+    together the mass of one, but by less than a half."""
     out = queries.op4_lm_score(spark, sf.replace("0.001", "0.01")).where("held_out and n_known < n_tokens").agg(F.avg("score"), F.avg("base_score")).first()
     assert out[0] > out[1] * 1.5
 
@@ -372,6 +399,7 @@ def test_shard_law(spark, sf):
     for per in mixture.values():
         assert max(per[s] for s in range(8)) - min(per[s] for s in range(8)) <= 2
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op7_shard(spark, sf).collect()))
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in rows} == brute.shards([tuple(r) for r in docs.collect()])
 
 
 def check_shards(rows, n):
@@ -512,17 +540,17 @@ def test_quality_keeps_clean(spark, sf):
 
 
 def test_pipeline(spark, sf):
+    """Against plain Python versions of all stages."""
     docs = [tuple(r) for r in common.table(spark, sf, "documents").collect()]
-    verdict = {r["doc_id"]: r["kept"] for r in queries.op10_quality(spark, sf).collect()}
-    kept = [d for d in docs if verdict[d[0]]]
-    own = {i: (n, k) for i, n, k, _ in brute.lines([(d[0], d[1]) for d in kept])}
-    stage = spark.createDataFrame(kept, DOCS)
-    cut = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(stage).collect()}
-    texts = {d[0]: cut[d[0]] for d in kept if own[d[0]][1] == 0 or cut[d[0]].strip("\t\n\x0b\f\r ")}
-    least = {i: c for i, _, c in brute.simhash(list(texts.items()))}
-    left = {i: t for i, t in texts.items() if least[i] == i}
-    plan = mixing.mix_plan(spark.createDataFrame([d[:1] + (left[d[0]],) + d[2:] for d in kept if d[0] in left], DOCS), ["doc_id"]).collect()
-    mixed = [(r["doc_id"], left[r["doc_id"]]) for r in plan for _ in range(r["mix_copies"])]
+    good = brute.quality_kept(docs)
+    docs = [d for d in docs if d[0] in good]
+    cut = {i: (len(all_) - len(kept), "\n".join(kept)) for i, all_, kept in brute.kept_lines([(d[0], d[1]) for d in docs])}
+    docs = [(d[0], cut[d[0]][1], *d[2:]) for d in docs if not cut[d[0]][0] or brute.WORD.search(cut[d[0]][1])]
+    own = set(brute.near_kept(docs))
+    assert len(own) < len(docs)
+    docs = [d for d in docs if d[0] in own]
+    taken = brute.copies(docs)
+    mixed = [(d[0], d[1]) for d in docs for _ in range(taken[d[0]])]
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert check_pieces(pieces, mixed) > 0.97
     assert Counter(p["doc_id"] for p in pieces if p["start"] == 0) == Counter(i for i, _ in mixed)
