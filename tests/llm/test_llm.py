@@ -539,9 +539,16 @@ def test_quality_keeps_clean(spark, sf):
 # --- the pipeline
 
 
-def test_pipeline(spark, sf):
-    """Against plain Python versions of all stages."""
+def test_pipeline(spark, sf, tmp_path):
+    """Against plain Python versions of all stages, with near copies of single lines besides."""
     docs = [tuple(r) for r in common.table(spark, sf, "documents").collect()]
+    long = [d for d in docs if len((d[1] or "").split()) > 60][:12]
+    for k, d in enumerate(long):
+        words = d[1].split()
+        for at, text in ((10_000, words), (20_000, [*words[:-1], "Other"])):
+            docs.append((at + k, " ".join(text), d[2], d[3], len(" ".join(text))))
+    sf = str(tmp_path)
+    spark.createDataFrame(docs, DOCS).repartition(4).write.parquet(f"{sf}/documents.parquet")
     good = brute.quality_kept(docs)
     docs = [d for d in docs if d[0] in good]
     cut = {i: (len(all_) - len(kept), "\n".join(kept)) for i, all_, kept in brute.kept_lines([(d[0], d[1]) for d in docs])}
